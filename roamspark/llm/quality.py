@@ -24,8 +24,8 @@ from . import kit
 BITS = 18
 #: Documents below this mean log ratio (nats an n-gram) are dropped.
 THRESHOLD = -0.2
-#: Added to each bucket, as a share of a uniform count: p = (c + SMOOTH * total / 2**BITS) / ((1 + SMOOTH) * total).
-SMOOTH = 0.5
+#: Added to each bucket's count in both multinomials, the raw one being scaled to the trusted total before.
+SMOOTH = 3.0
 #: At most so many trusted documents are fitted on, those with the least hash of their id; raw counts cover all documents.
 MAX_TRUSTED = 20_000
 SYMBOLS = np.zeros(256, bool)
@@ -76,11 +76,10 @@ def fit(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_co
 
 def log_ratio(counts: np.ndarray) -> np.ndarray:
     """Of counts[raw, trusted]; without trusted n-grams all ratios are 0."""
-    total = counts.sum(1, keepdims=True)
-    if not total.all():
-        return np.zeros(counts.shape[1], np.float32)
-    p = (counts / total + SMOOTH / counts.shape[1]) / (1 + SMOOTH)
-    return np.log(p[1] / p[0]).astype(np.float32)
+    raw, trusted = counts
+    if not raw.sum() or not trusted.sum():
+        return np.zeros(len(raw), np.float32)
+    return np.log((trusted + SMOOTH) / (raw * (trusted.sum() / raw.sum()) + SMOOTH)).astype(np.float32)
 
 
 def line_repeats(text: str) -> int:
