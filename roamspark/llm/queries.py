@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import decontaminate, quality, warc
 
 
 def queries() -> dict:
-    return {"op10_quality": quality.op10_quality}
+    return {"op4_decontaminate": decontaminate.op4_decontaminate, "op7_warc": warc.op7_warc, "op10_quality": quality.op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontaminate": decontaminate.ORACLE}
