@@ -12,8 +12,8 @@ Content-Length tells the length of the full payload, as WARC-Payload-Digest tell
 The reader checks, and raises ValueError where they fail: frame magic and block structure, one whole record to a frame, the version line, header
 syntax, the named fields, Content-Length against the block, and the digests of block and payload.
 
-Defined results: a null or empty payload is an empty one; rows that share a page id are ordered by their url, and a null id comes first; an empty table gives no
-archives and no rows; columns besides id, url and payload are neither read nor returned; a payload of any length is one record.
+Defined results: a null or empty payload is an empty one; rows that share payload and least page id are all responses; a null id is never the least, unless
+all of a payload's ids are null, which are responses then; an empty table gives no archives and no rows; columns besides id, url and payload are neither read nor returned; a payload of any length is one record.
 """
 
 from __future__ import annotations
@@ -148,10 +148,10 @@ def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     """page_id, url, payload, digest, n_bytes, and the first page of each payload. Only digests are grouped; a hot digest is summed before the shuffle and its join can be split."""
     page = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     page = page.withColumns({"digest": F.unhex(F.sha2("payload", 256)), "n_bytes": F.length("payload").cast("long")})
-    first = page.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
+    first = page.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
     out = page.join(first, "digest", "left")
-    revisit = F.col("first").isNotNull() & (F.col("n_bytes") >= min_revisit) & ~(F.struct("page_id", "url").eqNullSafe(F.col("first")))
-    return out.select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("first.page_id")).alias("refers_to"))
+    revisit = F.col("first").isNotNull() & (F.col("n_bytes") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("first"))
+    return out.select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 
 def write_archives(records: DataFrame, dictionary: bytes, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -204,8 +204,10 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
 
 
 def dictionary_for(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> bytes:
-    sample = pages.select(F.xxhash64(id_col).alias("h"), F.substring(F.col(payload_col).cast("binary"), 1, SAMPLE_BYTES).alias("b")).where("b is not null").orderBy("h", "b").limit(SAMPLES)
-    return train([bytes(r.b) for r in sample.collect()])
+    ids = pages.select(F.col(id_col).alias("id")).where("id is not null").orderBy(F.xxhash64("id"), "id").limit(SAMPLES).distinct()
+    body = F.substring(F.col(payload_col).cast("binary"), 1, SAMPLE_BYTES)
+    sample = pages.select(F.col(id_col).alias("id"), body.alias("b")).where("b is not null").join(F.broadcast(ids), "id", "left_semi").limit(4 * SAMPLES)
+    return train(sorted(bytes(r.b) for r in sample.select("b").collect())[:SAMPLES])
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
