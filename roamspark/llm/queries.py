@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, quality, warc
+from . import decontaminate, language, quality, scoring, warc
 
 
 def queries() -> dict:
-    return {"op4_decontaminate": decontaminate.op4_decontaminate, "op7_warc": warc.op7_warc, "op8_language": language.op8_language, "op10_quality": quality.op10_quality}
+    return {"op2_score": scoring.op2_score, "op4_decontaminate": decontaminate.op4_decontaminate, "op7_warc": warc.op7_warc, "op8_language": language.op8_language, "op10_quality": quality.op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.ORACLE}
+    return {"op2_score": scoring.op2_score, "op4_decontaminate": decontaminate.ORACLE}
