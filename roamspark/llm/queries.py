@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, quality, scoring, warc
+from . import decontaminate, language, quality, scoring, toxicity, warc
 
 
 def queries() -> dict:
-    return {"op2_score": scoring.op2_score, "op4_decontaminate": decontaminate.op4_decontaminate, "op7_warc": warc.op7_warc, "op8_language": language.op8_language, "op10_quality": quality.op10_quality}
+    return {"op2_score": scoring.op2_score, "op4_decontaminate": decontaminate.op4_decontaminate, "op5_toxicity": toxicity.op5_toxicity, "op7_warc": warc.op7_warc, "op8_language": language.op8_language, "op10_quality": quality.op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
