@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, quality, scoring, toxicity, warc
+from . import decontaminate, dedup, language, packing, quality, scoring, toxicity, warc
 
 
 def queries() -> dict:
-    return {"op2_score": scoring.op2_score, "op3_packing": packing.op3_packing, "op4_decontaminate": decontaminate.op4_decontaminate, "op5_toxicity": toxicity.op5_toxicity, "op7_warc": warc.op7_warc, "op8_language": language.op8_language, "op10_quality": quality.op10_quality}
+    return {"op1_dedup": dedup.op1_dedup, "op2_score": scoring.op2_score, "op3_packing": packing.op3_packing, "op4_decontaminate": decontaminate.op4_decontaminate, "op5_toxicity": toxicity.op5_toxicity, "op7_warc": warc.op7_warc, "op8_language": language.op8_language, "op10_quality": quality.op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_score": scoring.op2_score, "op3_packing": packing.op3_packing, "op4_decontaminate": decontaminate.ORACLE}
+    return {"op1_dedup": dedup.op1_dedup, "op2_score": scoring.op2_score, "op3_packing": packing.op3_packing, "op4_decontaminate": decontaminate.ORACLE}
