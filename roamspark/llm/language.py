@@ -29,6 +29,8 @@ from . import kit
 
 ORDER = 5
 DOCS_PER_LANG = 500
+#: Languages learned, the most frequent ones.
+MAX_LANGS = 200
 REJECT = 8.0
 #: Least variance between documents of a language: the threshold is then 3 bits above its mean, which a text half in another learned language stays below.
 LEAST_VAR = 0.15
@@ -188,8 +190,10 @@ class Identifier:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = DOCS_PER_LANG) -> Identifier:
     """Fits on docs, which hold only rows that may be learned from. At most per_lang whole documents of a language are read."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h")).where("lang is not null and text is not null")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= per_lang)
-    sample = kit.staged(ranked, "languages")
+    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    ids = rows.where(F.col("lang").isin(langs)).select("lang", "h").distinct()  # ids alone are ranked; texts are read only once chosen
+    ranked = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_lang)
+    sample = kit.staged(rows.join(F.broadcast(ranked), ["lang", "h"]), "languages")  # at most MAX_LANGS * per_lang ids
 
     def train(pdf):
         import pandas as pd
