@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from . import decontaminate, dedup, language, minhash, packing, quality, scoring, toxicity, warc
+from . import compaction, decontaminate, dedup, language, minhash, packing, quality, scoring, toxicity, warc
 
 
 def queries() -> dict:
-    return {"op1_dedup": dedup.op1_dedup, "op2_score": scoring.op2_score, "op3_packing": packing.op3_packing, "op4_decontaminate": decontaminate.op4_decontaminate, "op5_toxicity": toxicity.op5_toxicity, "op7_warc": warc.op7_warc, "op8_language": language.op8_language, "op9_minhash": minhash.op9_minhash, "op10_quality": quality.op10_quality}
+    return {
+        "op1_dedup": dedup.op1_dedup,
+        "op2_score": scoring.op2_score,
+        "op3_packing": packing.op3_packing,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op6_compaction": compaction.op6_compaction,
+        "op7_warc": warc.op7_warc,
+        "op8_language": language.op8_language,
+        "op9_minhash": minhash.op9_minhash,
+        "op10_quality": quality.op10_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_dedup": dedup.op1_dedup, "op2_score": scoring.op2_score, "op3_packing": packing.op3_packing, "op4_decontaminate": decontaminate.ORACLE}
+    return {"op4_decontaminate": decontaminate.ORACLE, "op6_compaction": compaction.ORACLE}
