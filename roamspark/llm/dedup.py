@@ -227,7 +227,7 @@ def match(contexts: DataFrame) -> DataFrame:
 def meet(rows: DataFrame, buckets: int, keep: bool, carried: str | None, last: bool) -> DataFrame:
     """Steps 3 and 5 on texts, marks and requests: results, and (unless last) open texts, their marks and asked contexts."""
     extra = ", c " + carried if carried else ""
-    result = "bucket long, doc long, th int, kind byte, payload binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + extra
+    result = "bucket long, doc long, th int, kind byte, payload binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string" + extra
     c_type = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +263,7 @@ def meet(rows: DataFrame, buckets: int, keep: bool, carried: str | None, last: b
                     before = e
                 left.append(body[before:])
                 kept = b"".join(left)
-                out.append({"doc": key[0], "kind": -1, "n_bytes": len(body), "n_removed": len(body) - len(kept), "n_spans": len(at), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept if keep else None, "c": c})
+                out.append({"doc": key[0], "kind": -1, "n_bytes": len(body), "n_removed": len(body) - len(kept), "n_spans": len(at), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept.decode("utf-8", "ignore") if keep else None, "c": c})
                 size += len(kept) if keep else 100
 
         def sent() -> Iterator[pa.RecordBatch]:
@@ -272,7 +272,7 @@ def meet(rows: DataFrame, buckets: int, keep: bool, carried: str | None, last: b
                 h = np.array([x[0] for x in ctx], U64) + np.array([x[1] for x in ctx], U64) * U64(0x9E3779B97F4A7C15)
                 b = _bucketed(h, lambda rows: packer.compress(pack_contexts([ctx[k] for k in rows])), buckets)
                 out += [{"bucket": k, "payload": p} for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            schema = pa.schema([*_WIDE, ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), *([("c", c_type)] if carried else [])])
+            schema = pa.schema([*_WIDE, ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), *([("c", c_type)] if carried else [])])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in out], f.type) for f in schema], schema=schema)
             out, ctx, size = [], [], 0
@@ -393,7 +393,7 @@ def packed(docs: DataFrame, carried: str | None) -> DataFrame:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; kept (the remaining bytes) with keep_text; the columns of carry."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; kept (the remaining bytes as text, without parts of characters that were cut) with keep_text; the columns of carry."""
     spark = docs.sparkSession
     buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -262,9 +262,11 @@ def _scored(rows: DataFrame, who: Identifier, raw: bool = False) -> DataFrame:
                 if raw:
                     yield pa.RecordBatch.from_arrays([ids, pa.array(sums.tolist(), pa.list_(pa.float64()))], names=[key, "sums"])
                     continue
-                yield pa.RecordBatch.from_arrays([ids, *_verdict(who, texts, sums)], names=[key, "lang_pred", "score", "bits", "rejected"])
+                more = [c.slice(i, j - i) for c in b.columns[2:]]
+                yield pa.RecordBatch.from_arrays([ids, *_verdict(who, texts, sums), *more], names=[key, "lang_pred", "score", "bits", "rejected", *b.schema.names[2:]])
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, " + ("sums array<double>" if raw else "lang_pred string, score double, bits double, rejected boolean"))
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])
+    return rows.mapInArrow(run, f"`{key}` {kind}, " + ("sums array<double>" if raw else "lang_pred string, score double, bits double, rejected boolean" + more))
 
 
 def _verdict(who: Identifier, texts: list, sums: np.ndarray) -> list[pa.Array]:
@@ -277,9 +279,11 @@ def _verdict(who: Identifier, texts: list, sums: np.ndarray) -> list[pa.Array]:
     return [pa.array([who.langs[k] if ok else "und" for k, ok in zip(best, clear)], pa.string()), pa.array(np.where(clear, score, 0.0)), pa.array(np.where(clear, bits, 0.0)), pa.array(bad | ~clear)]
 
 
-def identify(docs: DataFrame, who: Identifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """lang_pred, score, bits (a character, of the best language) and rejected of each document."""
-    return _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), who)
+def identify(docs: DataFrame, who: Identifier, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """lang_pred, score, bits (a character, of the best language) and rejected of each document; keep: more columns to carry."""
+    kept = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep or [])]
+    out = _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *kept), who)
+    return out.select("doc_id", "lang_pred", "score", "bits", "rejected", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep or [])])
 
 
 def op8_language(spark, sf_dir: str) -> DataFrame:
