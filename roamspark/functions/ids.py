@@ -50,7 +50,11 @@ def compact(value: Column) -> Column:
 
 def partial_match(predicted: Column, truth: Column) -> Column:
     """Both present, and one holds the other, as normalised or with letters and digits alone."""
-    p, t = normalise_id(predicted), normalise_id(truth)
+    return fits(normalise_id(predicted), normalise_id(truth))
+
+
+def fits(p: Column, t: Column) -> Column:
+    """partial_match of normalised ids."""
     pc, tc = compact(p), compact(t)
     return (p != "") & (t != "") & (p.contains(t) | t.contains(p) | ((pc != "") & (tc != "") & (pc.contains(tc) | tc.contains(pc))))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import f1, normalise_event, normalise_id, normalise_time, partial_match, safe_div
+from ..functions.ids import f1, fits, normalise_event, normalise_id, normalise_time, safe_div
 
 
 def _column(df: DataFrame, name: str):
@@ -42,7 +42,7 @@ def by_line(events: DataFrame, rows: DataFrame, truth: DataFrame, n_lines: int,
     last = rows.where("line_index is not null").groupBy("line_index").agg(F.max_by(F.struct(normalise_event(F.col("event")).alias("event"), normalise_id(F.col("ap_id")).alias("ap"), normalise_id(F.col("client_id")).alias("client")), "ts").alias("r"))
     one = pred.groupBy("line_index").agg(F.max("event").alias("p_event"))
     joined = gt.join(last, "line_index", "left").join(one, "line_index", "left")
-    hit = lambda field, many: F.exists(many, lambda c: partial_match(F.coalesce(F.col(f"r.{field}"), F.lit("")), c))
+    hit = lambda field, many: F.exists(many, lambda c: fits(F.coalesce(F.col(f"r.{field}"), F.lit("")), c))
     scored = joined.select("event", "p_event", F.col("r.event").alias("r_event"), F.size("aps").alias("na"), F.size("clients").alias("nc"), hit("ap", "aps").alias("ap"), hit("client", "clients").alias("cl"))
     number = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
     whole = (F.col("r_event") == F.col("event")) & (F.col("na") > 0) & F.col("ap")

@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parent
 
 
-def local_session(cores: str = "*", app: str = "roamspark") -> SparkSession:
+def local_session(cores: str = "*", app: str = "roamspark", conf: dict[str, str] | None = None) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -23,6 +23,7 @@ def local_session(cores: str = "*", app: str = "roamspark") -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(map=conf or {})
         .getOrCreate()
     )
 
