@@ -6,6 +6,8 @@ log odds of the word, and the mean and the largest of its n-grams' log odds, as
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 from . import kit
@@ -202,7 +204,7 @@ class Words:
         return self.rows[self.bounds[doc] + start : min(self.bounds[doc] + start + WINDOW, self.bounds[doc + 1])]
 
 
-def _odds(buckets_of: list[np.ndarray], label: np.ndarray, size: int) -> np.ndarray:
+def _odds(buckets_of: Iterable[np.ndarray], label: np.ndarray, size: int) -> np.ndarray:
     """Log odds of a bucket's rate in toxic against clean documents, of which each counts it PER_DOC times at most."""
     seen = np.zeros((2, size))
     for b, y in zip(buckets_of, label):
@@ -227,14 +229,14 @@ def fit(texts: list[bytes], label: np.ndarray, share: float, epochs: int = 8, se
     train = np.arange(len(texts)) % 5 != 0
     docs = [w.rows[w.bounds[k] : w.bounds[k + 1]] for k in range(len(texts))]
     on = np.flatnonzero(train)
-    net.word_odds = _odds([w.words[docs[k]] for k in on], label[on], 1 << WORD_BITS)
+    net.word_odds = _odds((w.words[docs[k]] for k in on), label[on], 1 << WORD_BITS)
 
     def gram_of(rows: np.ndarray) -> np.ndarray:
         n = np.diff(w.gram_bounds)[rows]
         b = np.concatenate([[0], np.cumsum(n)])
         return w.grams[np.repeat(w.gram_bounds[rows], n) + np.arange(b[-1]) - np.repeat(b[:-1], n)]
 
-    net.gram_odds = _odds([gram_of(docs[k]) for k in on], label[on], 1 << GRAM_BITS)
+    net.gram_odds = _odds((gram_of(docs[k]) for k in on), label[on], 1 << GRAM_BITS)
     starts = [windows(len(r)) for r in docs]
     own = net.inputs(w.words, w.grams, w.gram_bounds)[:, -3:]
     prior = own[:, 0] + own[:, 1] + 0.5 * own[:, 2]
@@ -243,7 +245,7 @@ def fit(texts: list[bytes], label: np.ndarray, share: float, epochs: int = 8, se
     apart = []  # odds without a fold's own documents, so that its windows look as unseen ones do
     for f in range(FOLDS):
         rest = on[on % FOLDS != f]
-        apart.append((_odds([w.words[docs[k]] for k in rest], label[rest], 1 << WORD_BITS), _odds([gram_of(docs[k]) for k in rest], label[rest], 1 << GRAM_BITS)) if len(set(label[rest].tolist())) > 1 else whole)
+        apart.append((_odds((w.words[docs[k]] for k in rest), label[rest], 1 << WORD_BITS), _odds((gram_of(docs[k]) for k in rest), label[rest], 1 << GRAM_BITS)) if len(set(label[rest].tolist())) > 1 else whole)
     for epoch in range(epochs):
         if epoch >= 3:
             best = best_windows(net, w, starts)[0]
