@@ -107,6 +107,16 @@ def joined(at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[new], end[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
 
 
+def planes(rows: np.ndarray, packer: zstandard.ZstdCompressor) -> bytes:
+    """Records by byte plane, compressed: ids and places are mostly zeros in their high bytes."""
+    return packer.compress(np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1).T.tobytes())
+
+
+def from_planes(raw: bytes, kind: np.dtype, opener: zstandard.ZstdDecompressor) -> np.ndarray:
+    body = np.frombuffer(opener.decompress(raw), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(body.T).view(kind).ravel()
+
+
 _MIXED = pa.schema([("doc", pa.int64()), ("th", pa.int32()), ("kind", pa.int8()), ("payload", pa.binary())])
 _BUCKETS = pa.schema([("bucket", pa.int64()), ("payload", pa.binary())])
 TEXT, MARKS, ASKS = 0, 1, 2
@@ -148,6 +158,7 @@ def cut(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
+        packer = zstandard.ZstdCompressor(level=1)
 
         def sent() -> Iterator[pa.RecordBatch]:
             c, first = firsts(np.concatenate(held))
@@ -156,7 +167,7 @@ def cut(docs: DataFrame, buckets: int) -> DataFrame:
                 m = _marks(again["doc"], again["th"], again["at"], again["at"] + again["n"].astype(np.int64) + LENGTH)
                 yield _wide(None, m)
             c = c[first]
-            yield _wide(_bucketed(c["h"], lambda rows: c[rows].tobytes(), buckets), None)
+            yield _wide(_bucketed(c["h"], lambda rows: planes(c[rows], packer), buckets), None)
 
         for b in batches:
             ids = b.column(0).cast(pa.int64()).fill_null(-(1 << 63)).to_numpy()
@@ -200,7 +211,8 @@ def match(contexts: DataFrame) -> DataFrame:
     """Step 2 on contexts by bucket: marks and requests by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.frombuffer(x.as_buffer(), CONTEXT) for b in batches for x in b.column(1)]
+        opener = zstandard.ZstdDecompressor()
+        parts = [from_planes(x.as_py(), CONTEXT, opener) for b in batches for x in b.column(1)]
         if not parts:
             return
         c, first = firsts(np.concatenate(parts))
