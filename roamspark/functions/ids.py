@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,9 +14,14 @@ def stripped(value: Column) -> Column:
     return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def pick_first(*values: Column) -> Column:
     """The first value that is not blank, stripped."""
-    return F.coalesce(*[F.nullif(stripped(v), F.lit("")) for v in values])
+    return F.try_element_at(F.filter(F.transform(F.array(*values), stripped), lambda v: v != ""), F.lit(1))
 
 
 def _paired(twelve: Column) -> Column:
@@ -22,26 +29,24 @@ def _paired(twelve: Column) -> Column:
 
 
 def normalise_mac(value: Column) -> Column:
-    v = F.nullif(stripped(value), F.lit(""))
-    c = F.lower(F.translate(v, "-. ", ":"))
-    return F.when((F.length(c) == 12) & ~c.contains(":"), _paired(c)).otherwise(c)
+    form = lambda c: F.when(c == "", F.lit(None)).when((F.length(c) == 12) & ~c.contains(":"), _paired(c)).otherwise(c)
+    return let(stripped(value), lambda v: F.when(v != "", let(F.lower(F.translate(v, "-. ", ":")), form)))
 
 
 def looks_like_mac(value: Column) -> Column:
     c = F.lower(F.translate(stripped(value), "-.", ":"))
-    return F.coalesce(c.rlike("^([0-9a-f]{2}:){5}[0-9a-f]{2}$") | c.rlike("^[0-9a-f]{12}$"), F.lit(False))
+    return F.coalesce(c.rlike("^(([0-9a-f]{2}:){5}[0-9a-f]{2}|[0-9a-f]{12})$"), F.lit(False))
 
 
 def normalise_id(value: Column) -> Column:
     """Lower case and stripped; twelve hex digits once dots and blanks are out become a colon MAC, unless dashes or colons were in."""
-    v = F.lower(stripped(F.coalesce(value.cast("string"), F.lit(""))))
-    c = F.translate(v, "-. ", ":")
-    return F.when(v.isin("", "nan"), F.lit("")).when(c.rlike("^[0-9a-f]{12}$"), _paired(c)).otherwise(v)
+    form = lambda v: F.when(v.isin("", "nan"), F.lit("")).otherwise(let(F.translate(v, "-. ", ":"), lambda c: F.when(c.rlike("^[0-9a-f]{12}$"), _paired(c)).otherwise(v)))
+    return let(F.lower(stripped(F.coalesce(value.cast("string"), F.lit("")))), form)
 
 
 def normalise_event(value: Column) -> Column:
-    v = F.lower(stripped(F.coalesce(value.cast("string"), F.lit(""))))
-    return F.when(v.isin(CONNECT, "1", "+1"), F.lit(CONNECT)).when(v.isin(DISCONNECT, "-1"), F.lit(DISCONNECT)).otherwise(F.lit(""))
+    form = lambda v: F.when(v.isin(CONNECT, "1", "+1"), F.lit(CONNECT)).when(v.isin(DISCONNECT, "-1"), F.lit(DISCONNECT)).otherwise(F.lit(""))
+    return let(F.lower(stripped(F.coalesce(value.cast("string"), F.lit("")))), form)
 
 
 def compact(value: Column) -> Column:
@@ -53,10 +58,15 @@ def partial_match(predicted: Column, truth: Column) -> Column:
     return fits(normalise_id(predicted), normalise_id(truth))
 
 
-def fits(p: Column, t: Column) -> Column:
+def fits(predicted: Column, truth: Column) -> Column:
     """partial_match of normalised ids."""
-    pc, tc = compact(p), compact(t)
-    return (p != "") & (t != "") & (p.contains(t) | t.contains(p) | ((pc != "") & (tc != "") & (pc.contains(tc) | tc.contains(pc))))
+
+    def held(x: Column) -> Column:
+        p, t, pc, tc = (x[k] for k in ("p", "t", "pc", "tc"))
+        return (p != "") & (t != "") & (p.contains(t) | t.contains(p) | ((pc != "") & (tc != "") & (pc.contains(tc) | tc.contains(pc))))
+
+    both = let(F.struct(predicted.alias("p"), truth.alias("t")), lambda x: F.struct(x["p"].alias("p"), x["t"].alias("t"), compact(x["p"]).alias("pc"), compact(x["t"]).alias("tc")))
+    return let(both, held)
 
 
 def safe_div(num: Column, den: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import CONNECT, DISCONNECT, iso_time, looks_like_mac, normalise_mac, pick_first
+from ..functions.ids import CONNECT, DISCONNECT, iso_time, let, looks_like_mac, normalise_mac, pick_first
 from ..functions.text import once
+from ..session import local_table
 from .templates import Parser
 
 #: Parsers that are written into the plan, each pattern compiled once; above, patterns come from the joined table.
@@ -20,7 +21,7 @@ TABLE = "skeleton string, group_id int, pattern string, names array<string>, fla
 def parser_table(spark: SparkSession, signature: dict[str, int], parsers: dict[int, Parser]) -> DataFrame:
     """One row for each skeleton whose group has a parser (or a label alone)."""
     rows = [(s, g, parsers[g].pattern, list(parsers[g].names), parsers[g].flag, parsers[g].example) for s, g in signature.items() if g in parsers]
-    return spark.createDataFrame(rows, TABLE)
+    return local_table(spark, rows, TABLE)
 
 
 def looked_up(lines: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
@@ -61,7 +62,7 @@ def _field(name: str) -> Column:
 def ap_id() -> Column:
     """The earliest MAC slot that is not blank, if it looks like a MAC; else address, name or id."""
     mac = pick_first(*[_field(n) for n in ("ap_mac", "ap_mac_1", "ap_mac_2")])
-    return F.when(looks_like_mac(mac), normalise_mac(mac)).otherwise(pick_first(*[_field(n) for n in AP_NAMES]))
+    return F.coalesce(let(mac, lambda m: F.when(looks_like_mac(m), normalise_mac(m))), pick_first(*[_field(n) for n in AP_NAMES]))
 
 
 def client_id() -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract, groups, header, induce
 from ..operators.consolidate import Run
+from ..session import local_table
 from ..sources import lines as sources
 from ..sources.sinks import Progress, batches
 
@@ -78,8 +79,9 @@ class Engine:
         parsed = groups.parsed_lines(lines, self.rule, keys).persist()  # the skeleton is costly, and read three times
         tell("scan", 1.0)
         found = groups.micro_groups(parsed) if self.known is None else groups.merge_groups(self.known, groups.micro_groups(parsed))
-        self.known = self.spark.createDataFrame(found.collect(), found.schema)  # one row a structure
-        held = [r.asDict() for r in self.known.collect()]
+        rows = found.select("skeleton", "n", "first_idx", "representative", "group_id").collect()  # one row a structure
+        self.known = local_table(self.spark, [tuple(r) for r in rows], "skeleton string, n long, first_idx long, representative string, group_id int")
+        held = [r.asDict() for r in rows]
         sample: dict[str, list[str]] = {}
         for r in groups.group_sample(parsed, seed=self.settings.seed).orderBy("skeleton", "line_index").select("skeleton", "content").collect():
             sample.setdefault(r.skeleton, []).append(r.content)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, text
 from ..operators import consolidate, evaluate, extract, groups, header, mobility, sampling
 from ..operators.templates import Parser
+from ..session import local_table
 from ..sources import lines as sources
 from ..streaming import stream
 from .engines import Engine
@@ -95,7 +96,7 @@ def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coverage_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = parsed(spark, sf_dir)
-    parsers = spark.createDataFrame([(k, p) for k, (*_, p) in enumerate(_PARSERS)] + [(9, r"\Astm\[.*?\]: .*\|\z")], "parser_id int, pattern string")
+    parsers = local_table(spark, [(k, p) for k, (*_, p) in enumerate(_PARSERS)] + [(9, r"\Astm\[.*?\]: .*\|\z")], "parser_id int, pattern string")
     return groups.group_sample(rows, order=F.col("line_index")), groups.micro_groups(rows), parsers
 
 
@@ -115,7 +116,7 @@ def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = min((g for g in held if g["skeleton"].startswith("stm")), key=lambda g: (-g["n"], g["first_idx"]))["skeleton"]
     by_id = {g["group_id"]: g["skeleton"] for g in held}
     assert by_id[run.canon[first]] == first
-    return spark.createDataFrame([(s, by_id[c], c in run.parsers and run.parsers[c].pattern is not None) for s, c in run.canon.items()], "skeleton string, canonical string, parsed boolean")
+    return local_table(spark, [(s, by_id[c], c in run.parsers and run.parsers[c].pattern is not None) for s, c in run.canon.items()], "skeleton string, canonical string, parsed boolean")
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:

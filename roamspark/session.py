@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 
@@ -28,6 +28,17 @@ def local_session(cores: str = "*", app: str = "roamspark", conf: dict[str, str]
     )
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table that stays in the JVM: through Arrow, so that no task has to start Python to read it."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows)) if rows else [[]] * len(fields)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, fields)], schema=fields))
+
+
 def ship(spark: SparkSession) -> None:
     """Gives this package to the Python workers once for each Spark application; on a cluster they have no copy of it."""
     context = spark.sparkContext

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import local_table
+
 #: What str.splitlines() splits on.
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
@@ -24,7 +26,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines_of(spark: SparkSession, lines: list[str]) -> DataFrame:
-    return spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "line_index long, raw string")
+    return local_table(spark, list(enumerate(lines)), "line_index long, raw string")
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:

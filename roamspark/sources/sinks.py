@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
+from ..session import local_table
+
 BATCH = 2000
 #: Shares of a run's progress.
 WEIGHTS = {"scan": 0.30, "induce": 0.40, "extract": 0.30}
@@ -33,7 +35,7 @@ def write_json(value: object, path: str) -> None:
 
 def write_summary(spark, rows: list[dict], path: str) -> None:
     schema = ", ".join(f"{c} string" for c in SUMMARY)
-    spark.createDataFrame([tuple(None if r.get(c) is None else str(r[c]) for c in SUMMARY) for r in rows], schema).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    local_table(spark, [tuple(None if r.get(c) is None else str(r[c]) for c in SUMMARY) for r in rows], schema).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def batch_size(value: object) -> int:
