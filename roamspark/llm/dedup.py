@@ -420,6 +420,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     pieces = kit.staged(cut(two, buckets), "contexts")
     asked = match(pieces.where("bucket is not null"))
     met = kit.staged(meet(packed(three, carried).unionByName(mixed(pieces.where("bucket is null"))).unionByName(mixed(asked)), buckets, keep_text, carried, False), "met")
+    kit.drop(spark, pieces._staged_at)
     found = kit.staged(sort_blocks(met.where("bucket is not null").select("bucket", "payload"), buckets), "sorted")
     opened = met.where("bucket is null and kind >= 0").select(*row, *(["c"] if carry else []))
     more = mixed(found.where("bucket is null")).unionByName(mixed(settle(found.where("bucket is not null"))))

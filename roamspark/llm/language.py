@@ -216,7 +216,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for r in sorted(parts, key=lambda r: (r.lang, r.k)):
         by.setdefault(r.lang, []).append(r)
     models = [Model([np.frombuffer(r.grams, np.uint64) for r in rs], [np.frombuffer(r.prob, np.float32) for r in rs], [np.frombuffer(r.contexts, np.uint64) for r in rs], [np.frombuffer(r.back, np.float32) for r in rs], rs[0].floor) for rs in by.values()]
-    return calibrated(Identifier(list(by), models), sample.where("rank % 5 = 0"))
+    who = calibrated(Identifier(list(by), models), sample.where("rank % 5 = 0"))
+    kit.drop(docs.sparkSession, sample._staged_at)
+    return who
 
 
 def calibrated(who: Identifier, held: DataFrame) -> Identifier:
