@@ -297,6 +297,37 @@ def test_minhash_classes(spark, docs, texts):
     assert got == {i: find(i) for i in texts}
 
 
+@pytest.mark.parametrize("small", [16, 2])
+def test_minhash_pairs_in_buckets_of_others(spark, monkeypatch, small):
+    """Texts of one passage and words of their own share keys made of the passage; each pair of close ones is found all the same."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    rng = random.Random(7)
+    passage = [f"p{k}" for k in range(430)]
+    rows = []
+    for i in range(60):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(70)]
+        near = own[:-30] + [f"w{rng.randrange(10**9)}" for _ in range(30)]
+        rows += [(1000 + i, " ".join(passage + own)), (2000 + i, " ".join(passage + near))]
+    rows.sort(key=lambda r: zlib.crc32(str(r).encode()))
+    held = {k: minhash.text_shingles(t.encode()) for k, t in rows}
+    parent = {k: k for k in held}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in held:
+        for b in held:
+            if a < b and minhash.aligned(held[a], held[b]) >= 0.8:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    want = {k: find(k) for k in held}
+    assert len(set(want.values())) == 60
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_alignment_keeps_order():
     a = np.arange(100, dtype=np.uint64)
     assert minhash.aligned(a, a) == 1.0
