@@ -131,6 +131,22 @@ def test_ctw_is_what_the_recursion_says():
     assert abs((2 ** -tree.bits(every)).sum() - 1) < 1e-4
 
 
+def test_ctw_weights_are_of_all_counts():
+    """Nodes that are kept have the weights of the whole tree, whatever is left out below them."""
+    rng = np.random.default_rng(2)
+    n = 1 + (400 / np.arange(1, 401)).astype(int) * 8
+    ctx = rng.permutation(np.arange(256, 656)).astype(np.uint64) << np.uint64(24) | np.uint64(int.from_bytes(b"ab", "big") << 8)
+    ones = rng.binomial(n, 0.3)
+    grams, counts = np.concatenate([ctx | np.uint64(ord("p")), ctx | np.uint64(ord("q"))]), np.concatenate([n - ones, ones]).astype(float)
+    grams, counts = grams[counts > 0], counts[counts > 0]
+    whole, (_, total) = ctw.Tree.build(grams, counts, 5, 2)
+    cut, (_, same) = ctw.Tree.build(grams, counts, 5, 2, 64)
+    assert np.array_equal(total, same) and 0 < len(cut.keys[5]) < len(whole.keys[5])
+    for d in range(2, 6):
+        at = np.searchsorted(whole.keys[d], cut.keys[d])
+        assert np.array_equal(whole.keys[d][at], cut.keys[d]) and np.array_equal(whole.weight[d][at], cut.weight[d]) and np.array_equal(whole.one[d][at], cut.one[d])
+
+
 @pytest.mark.parametrize("most", [500_000, 50])
 def test_base_score(spark, docs, texts, monkeypatch, most):
     monkeypatch.setattr(scoring.frequent, "__defaults__", (most,))
