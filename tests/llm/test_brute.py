@@ -147,6 +147,22 @@ def test_ctw_weights_are_of_all_counts():
         assert np.array_equal(whole.keys[d][at], cut.keys[d]) and np.array_equal(whole.weight[d][at], cut.weight[d]) and np.array_equal(whole.one[d][at], cut.one[d])
 
 
+@pytest.mark.parametrize("most", [1_000_000, 40, 0])
+def test_score_is_of_the_whole_tree(spark, monkeypatch, most):
+    """Scores do not depend on any bound of train(); grams beyond the given code lengths, also unseen ones, are found in the tree."""
+    monkeypatch.setattr(scoring.train, "__defaults__", (scoring.DEPTH, *[most] * (len(scoring.train.__defaults__) - 1)))
+    rng = random.Random(4)
+    line = lambda k: " ".join(rng.choice(["abra", "cadabra", "bar", "zoë", f"n{rng.randrange(k)}"]) for _ in range(30))
+    rows = [(i, line(40)) for i in range(30)]
+    seen, asked = (spark.createDataFrame(r, "doc_id long, text string") for r in (rows[:20], rows + [(90, "never qqq seen"), (91, None), (None, "abra")]))
+    got = {r.doc_id: r.score for r in scoring.score(asked, scoring.train(seen), scoring.token_counts(seen)).collect()}
+    put = lambda texts: (lambda b: ctw.grams_of(np.frombuffer(b"".join(b), np.uint8), np.cumsum([0, *map(len, b)]), scoring.DEPTH)[0])([x.encode() for x in texts])
+    keys, n = np.unique(put([t for _, t in rows[:20]]), return_counts=True)
+    tree, _ = ctw.Tree.build(keys, n.astype(float), scoring.DEPTH)
+    for i, t in [*rows, (90, "never qqq seen"), (91, ""), (None, "abra")]:
+        assert math.isclose(got[i], tree.bits(put([t])).sum() * -math.log10(2), rel_tol=1e-4)
+
+
 @pytest.mark.parametrize("most", [500_000, 50])
 def test_base_score(spark, docs, texts, monkeypatch, most):
     monkeypatch.setattr(scoring.frequent, "__defaults__", (most,))
