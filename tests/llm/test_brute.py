@@ -117,7 +117,7 @@ def test_ctw_is_what_the_recursion_says():
     tree, _ = ctw.Tree.build(keys, n.astype(float), depth)
     low, (up, total) = ctw.Tree.build(keys, n.astype(float), depth, 2)
     short, inverse = np.unique(keys & ctw.mask(1), return_inverse=True)
-    top, _ = ctw.Tree.build(short, np.bincount(inverse, n).astype(float), 1, 0, 1, (up, total))
+    top, _ = ctw.Tree.build(short, np.bincount(inverse, n).astype(float), 1, 0, (up, total))
     asked = np.array([*keys[:10], int.from_bytes(b"abz", "big"), int.from_bytes(b"zza", "big"), int.from_bytes(b"zab", "big")], np.uint64)
     want = []
     for g in asked.tolist():
@@ -131,20 +131,13 @@ def test_ctw_is_what_the_recursion_says():
     assert abs((2 ** -tree.bits(every)).sum() - 1) < 1e-4
 
 
-def test_ctw_weights_are_of_all_counts():
-    """Nodes that are kept have the weights of the whole tree, whatever is left out below them."""
-    rng = np.random.default_rng(2)
-    n = 1 + (400 / np.arange(1, 401)).astype(int) * 8
-    ctx = rng.permutation(np.arange(256, 656)).astype(np.uint64) << np.uint64(24) | np.uint64(int.from_bytes(b"ab", "big") << 8)
-    ones = rng.binomial(n, 0.3)
-    grams, counts = np.concatenate([ctx | np.uint64(ord("p")), ctx | np.uint64(ord("q"))]), np.concatenate([n - ones, ones]).astype(float)
-    grams, counts = grams[counts > 0], counts[counts > 0]
-    whole, (_, total) = ctw.Tree.build(grams, counts, 5, 2)
-    cut, (_, same) = ctw.Tree.build(grams, counts, 5, 2, 64)
-    assert np.array_equal(total, same) and 0 < len(cut.keys[5]) < len(whole.keys[5])
-    for d in range(2, 6):
-        at = np.searchsorted(whole.keys[d], cut.keys[d])
-        assert np.array_equal(whole.keys[d][at], cut.keys[d]) and np.array_equal(whole.weight[d][at], cut.weight[d]) and np.array_equal(whole.one[d][at], cut.one[d])
+def test_slots_hold_all_keys():
+    keys = np.unique(np.concatenate([np.array([0, 1, 2], np.uint64), np.random.default_rng(3).integers(0, 1 << 48, 5000).astype(np.uint64)]))
+    held, other = keys[::2], keys[1::2]
+    slots = scoring.Slots(held, np.arange(len(held), dtype=np.float32))
+    value, seen = slots.find(keys)
+    assert seen.tolist() == np.isin(keys, held).tolist() and value[::2].tolist() == list(range(len(held))) and not value[1::2].any()
+    assert not scoring.Slots(other[:0], np.zeros(0, np.float32)).find(keys)[1].any()
 
 
 @pytest.mark.parametrize("most", [1_000_000, 40, 0])
@@ -305,8 +298,26 @@ def test_kneser_ney_sums_to_one():
     assert language.Scorer(who.models).texts(np.frombuffer(b"zzzz qqqq", np.uint8), np.array([0, 9]))[0, 0] / 10 > 5
 
 
-def test_minhash_classes(spark, docs, texts):
-    got = {r.doc_id: r.class_id for r in minhash.near_classes(docs).collect()}
+def edits(a, b):
+    """The edit distance of two lists, by the whole table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def close(a, b, least=0.8):
+    """Whether two lists of words have the edit similarity least or more; common words are counted first, as the table is slow."""
+    w = max(len(a), len(b))
+    if w and sum((Counter(a) & Counter(b)).values()) < least * w - 1e-9:
+        return False
+    return not w or edits(a, b) <= (1 - least) * w + 1e-9
+
+
+def grouped(texts, linked):
     parent = {i: i for i in texts}
 
     def find(x):
@@ -314,19 +325,35 @@ def test_minhash_classes(spark, docs, texts):
             x = parent[x]
         return x
 
-    def sim(a, b):
-        short = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] or ([tuple(w)] if w else [])
-        ca, cb = Counter(short(a)), Counter(short(b))
-        m = sum((ca & cb).values())
-        return m / max(sum(ca.values()) + sum(cb.values()) - m, 1)
-
-    low = {i: t.lower().split() for i, t in texts.items()}
     for a in texts:
         for b in texts:
-            if a < b and sim(low[a], low[b]) >= 0.8:
+            if a < b and linked(texts[a], texts[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    assert got == {i: find(i) for i in texts}
+    return {i: find(i) for i in texts}
+
+
+def test_minhash_classes(spark, docs, texts):
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(docs).collect()}
+    want = grouped({i: t.lower().split() for i, t in texts.items()}, close)
+    assert got == want and len(set(want.values())) < len(want)
+
+
+def test_minhash_recall(spark):
+    """Edited copies of a thousand texts, against all pairs: every tenth word replaced, dropped or added at most."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(4000)}"
+    rows = {}
+    for i in range(0, 1000, 2):
+        rows[i] = [word() for _ in range(rng.randint(20, 120))]
+        rate = rng.uniform(0, 0.12)
+        rows[i + 1] = [x for w in rows[i] for x in ([w] if rng.random() >= rate else rng.choice([[], [word()], [w, word()]]))]
+    sets = {i: Counter(t) for i, t in rows.items()}
+    want = {(a, b) for a in rows for b in rows if a < b and sum((sets[a] & sets[b]).values()) >= 0.8 * max(len(rows[a]), len(rows[b])) - 1e-9 and close(rows[a], rows[b])}
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(spark.createDataFrame([(i, " ".join(t)) for i, t in rows.items()], "doc_id long, text string")).collect()}
+    found = [got[a] == got[b] for a, b in want]
+    assert len(found) > 450 and sum(found) / len(found) > 0.98
+    assert all((c, i) in want for i, c in got.items() if c != i)
 
 
 @pytest.mark.parametrize("small", [16, 2])
@@ -334,37 +361,43 @@ def test_minhash_pairs_in_buckets_of_others(spark, monkeypatch, small):
     """Texts of one passage and words of their own share keys made of the passage; each pair of close ones is found all the same."""
     monkeypatch.setattr(minhash, "SMALL", small)
     rng = random.Random(7)
-    passage = [f"p{k}" for k in range(430)]
+    passage = [f"p{k}" for k in range(140)]
     rows = []
     for i in range(60):
         own = [f"w{rng.randrange(10**9)}" for _ in range(70)]
         near = own[:-30] + [f"w{rng.randrange(10**9)}" for _ in range(30)]
-        rows += [(1000 + i, " ".join(passage + own)), (2000 + i, " ".join(passage + near))]
-    rows.sort(key=lambda r: zlib.crc32(str(r).encode()))
-    held = {k: minhash.text_shingles(t.encode()) for k, t in rows}
-    parent = {k: k for k in held}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in held:
-        for b in held:
-            if a < b and minhash.aligned(held[a], held[b]) >= 0.8:
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    want = {k: find(k) for k in held}
+        rows += [(1000 + i, passage + own), (2000 + i, passage + near)]
+    want = grouped(dict(rows), close)
     assert len(set(want.values())) == 60
+    rows = sorted(((i, " ".join(t)) for i, t in rows), key=lambda r: zlib.crc32(str(r).encode()))
     got = {r.doc_id: r.class_id for r in minhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
 
 
-def test_alignment_keeps_order():
-    a = np.arange(100, dtype=np.uint64)
-    assert minhash.aligned(a, a) == 1.0
-    assert minhash.aligned(a, np.concatenate([a[50:], a[:50]])) == 0.0
-    assert abs(minhash.aligned(a, np.delete(a, [5, 50, 51])) - 0.97) < 1e-9
+def test_banded_distance():
+    rng = random.Random(1)
+    for _ in range(3000):
+        a = [rng.randrange(4) for _ in range(rng.randrange(24))]
+        b = [x for x in a for x in ([x] if rng.random() > 0.2 else rng.choice([[], [rng.randrange(4)], [x, rng.randrange(4)]]))] if rng.random() < 0.8 else [rng.randrange(4) for _ in range(rng.randrange(24))]
+        most = rng.randrange(9)
+        assert minhash.distance(a, b, most) == min(edits(a, b), most + 1)
+    text = lambda *w: minhash.Text(" ".join(w).encode())
+    words = [f"w{k}" for k in range(100)]
+    assert minhash.similar(text(*words), text(*words[:40], "x", *words[41:])) and not minhash.similar(text(*words), text(*words[50:], *words[:50]))
+    assert minhash.similar(text(*words), text(*words[20:])) and not minhash.similar(text(*words), text(*words[21:])) and minhash.similar(text(), text())
+
+
+def test_minhash_repeated_ids(spark):
+    """Null and repeated ids do not bring different texts together, nor does a class lose its row."""
+    rng = random.Random(5)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+    same, rows = line(), []
+    rows += [(None, line(), "a") for _ in range(20)] + [(7, line(), "b") for _ in range(20)] + [(i, same, "c") for i in (9, 8, None)] + [(None, None, "d"), (None, "", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = minhash.near_classes(docs)
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got.collect()) == Counter({(None, None, 1): 20, (7, 7, 1): 20, (9, 8, 3): 1, (8, 8, 3): 1, (None, 8, 3): 1, (None, None, 2): 2})
+    kept = [(r.doc_id, r.text, r.node) for r in minhash.distinct(docs, carry=["node"]).collect()]
+    assert Counter(k for k in kept if k[2] != "d") == Counter([*rows[:40], (8, same, "c")]) and [k[0] for k in kept if k[2] == "d"] == [None]
 
 
 def test_quality_base(docs, texts, spark):

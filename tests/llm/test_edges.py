@@ -94,8 +94,9 @@ def test_minhash(docs):
     rows = minhash.near_classes(docs).collect()
     assert len(rows) == len(ROWS)
     of = {(r.doc_id): r.class_id for r in rows}
-    assert of[2] == 2 and of[3] == 3 and of[1] is None and of[4] is None  # texts without words are one class, and a null id comes first
+    assert of[2] == 2 and of[3] == 3 and of[1] == of[4] == 1  # texts without words are one class, whose least id is not the null one
     assert minhash.near_classes(empty(docs)).count() == 0
+    assert minhash.distinct(docs, carry=["lang", "node"]).count() == len({(" ".join((r[1] or "").split())) for r in ROWS}) and minhash.distinct(empty(docs)).count() == 0
 
 
 def test_quality(docs, labels):
