@@ -11,11 +11,15 @@ Successive windows with one anchor are a context, at most 2 LENGTH bytes.
    of them leaves first meet once more, by the window's hash.
 5. By document: the open documents meet the marks of 4.
 
-No step holds more than one task's share; marks follow the repeated bytes. A context's hash stands for its bytes in steps 1 and 2 (128 bits), a window's in the last part of 4.
+An anchor that has over HOT contexts in one task of 1 goes to 4 directly, dealt to many tasks, so that no task of 2 or 4 holds all contexts of a hot anchor.
 
-Defined results: a null text has no bytes; texts under LENGTH bytes lose nothing; rows that repeat both id and text are one document, and each returns its result;
-rows that repeat an id with other texts are ordered by a hash of the text; a null id comes first; empty tables give no rows; ids are integers; columns besides id and text
-are returned only where carry names them.
+No step holds more than one task's share; marks follow the repeated bytes. In steps 1 and 2 a context's bytes are stood for by 64 bits of hash beside the 64 of its anchor's, in the last
+part of 4 a window's by two of 64 bits; only between different contexts of one anchor are bytes themselves sorted.
+
+Defined results: a null text has no bytes; texts under LENGTH bytes lose nothing; texts of any length are read whole, in pieces that overlap by a window; equal strings (ties) are ordered
+by (doc_id, start); rows that repeat both id and text are one document, and each returns its result; rows that repeat an id with other texts are ordered by a 64-bit hash of the text
+(ValueError if two of one id have the same); a null id comes first; empty tables give no rows; ids are integers; columns besides id and text are returned only where carry names them,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -41,10 +45,12 @@ BLOCK = 150_000
 #: Contexts that a task gathers before it sends them on.
 HELD = 2_000_000
 U64 = np.uint64
-CONTEXT = np.dtype([("h", "<u8"), ("f", "<u8"), ("doc", "<i8"), ("th", "<u2"), ("at", "<u4"), ("a", "u1"), ("n", "u1")])
+CONTEXT = np.dtype([("h", "<u8"), ("f", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("at", "<u4"), ("a", "u1"), ("n", "u1")])
 ASK = np.dtype([("h", "<u8"), ("at", "<u4"), ("a", "u1"), ("n", "u1"), ("salt", "<u2")])
 MARK = np.dtype([("at", "<u4"), ("end", "<u4")])
-FIRST = np.dtype([("x", "<u8"), ("y", "<u8"), ("doc", "<i8"), ("th", "<u2"), ("at", "<u4")])
+FIRST = np.dtype([("x", "<u8"), ("y", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("at", "<u4")])
+SALTS = 65535  # parts of an anchor, at most
+SPLIT = 255  # n of a context that only says that its anchor is split
 
 
 def contexts_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -117,9 +123,9 @@ def from_planes(raw: bytes, kind: np.dtype, opener: zstandard.ZstdDecompressor)
     return np.ascontiguousarray(body.T).view(kind).ravel()
 
 
-_MIXED = pa.schema([("doc", pa.int64()), ("th", pa.int32()), ("kind", pa.int8()), ("payload", pa.binary())])
+_MIXED = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("kind", pa.int8()), ("payload", pa.binary())])
 _BUCKETS = pa.schema([("bucket", pa.int64()), ("payload", pa.binary())])
-TEXT, MARKS, ASKS = 0, 1, 2
+MARKS, ASKS, TEXT = 0, 1, 2  # in this order, so that texts need not be held
 
 
 def _by_doc(doc: np.ndarray, th: np.ndarray, rows: np.ndarray, kind: int) -> pa.RecordBatch:
@@ -128,7 +134,7 @@ def _by_doc(doc: np.ndarray, th: np.ndarray, rows: np.ndarray, kind: int) -> pa.
     doc, th, rows = doc[order], th[order], rows[order]
     first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])])[: len(doc)])
     ends = np.append(first[1:], len(doc))
-    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(th[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int8)), pa.array([rows[s:e].tobytes() for s, e in zip(first, ends)], pa.binary())], schema=_MIXED)
+    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(th[first].astype(np.int64)), pa.array(np.full(len(first), kind, np.int8)), pa.array([rows[s:e].tobytes() for s, e in zip(first, ends)], pa.binary())], schema=_MIXED)
 
 
 def _marks(doc: np.ndarray, th: np.ndarray, at: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
@@ -153,8 +159,25 @@ def _bucketed(key: np.ndarray, payloads, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ranked[first]), pa.array([payloads(rows) for rows in np.split(order, first[1:])] if len(order) else [], pa.binary())], schema=_BUCKETS)
 
 
-def cut(docs: DataFrame, buckets: int) -> DataFrame:
-    """Step 1 on docs(id, text): contexts by bucket of their anchor, and marks."""
+def _asks(c: np.ndarray, salts: np.ndarray) -> pa.RecordBatch:
+    """Requests for the bytes of contexts by document; salts: into how many parts each one's anchor is dealt."""
+    ask = np.zeros(len(c), ASK)
+    for name in ("h", "at", "a", "n"):
+        ask[name] = c[name]
+    ask["salt"] = np.where(salts > 1, 1 + kit.mix(c["doc"].astype(U64) + c["at"]) % np.maximum(salts, 1).astype(U64), 0)
+    return _by_doc(c["doc"], c["th"], ask, ASKS)
+
+
+def _sizes(h: np.ndarray) -> np.ndarray:
+    """Of each of sorted anchors how many contexts it has here."""
+    edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+    n = np.diff(np.append(edge, len(h)))
+    return np.repeat(n, n)
+
+
+def cut(docs: DataFrame, buckets: int, repeated: bool) -> DataFrame:
+    """Step 1 on docs(id, text): contexts by bucket of their anchor, marks, and requests of anchors that are hot here. repeated: whether an id has several rows."""
+    hot = HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -167,12 +190,18 @@ def cut(docs: DataFrame, buckets: int) -> DataFrame:
                 m = _marks(again["doc"], again["th"], again["at"], again["at"] + again["n"].astype(np.int64) + LENGTH)
                 yield _wide(None, m)
             c = c[first]
+            many = _sizes(c["h"]) > hot
+            if many.any():
+                yield _wide(None, _asks(c[many], np.full(int(many.sum()), SALTS)))
+                told = c[many][np.concatenate([[True], np.diff(c["h"][many]) != 0])]
+                told["n"] = SPLIT
+                c = np.concatenate([c[~many], told])
             yield _wide(_bucketed(c["h"], lambda rows: planes(c[rows], packer), buckets), None)
 
         for b in batches:
             ids = b.column(0).cast(pa.int64()).fill_null(-(1 << 63)).to_numpy()
             data, offs = kit.flat(b.column(1))
-            th = text_hash(data, offs)
+            th = text_hash(data, offs) if repeated else np.zeros(len(ids), np.int64)
             row, at, a, n, h, f = contexts_of(data, offs)
             c = np.zeros(len(row), CONTEXT)
             for name, v in (("h", h), ("f", f), ("doc", ids[row]), ("th", th[row]), ("at", at), ("a", a), ("n", n)):
@@ -188,7 +217,7 @@ def cut(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, WIDE)
 
 
-WIDE = "bucket long, doc long, th int, kind byte, payload binary"
+WIDE = "bucket long, doc long, th long, kind byte, payload binary"
 _WIDE = pa.schema([("bucket", pa.int64()), *_MIXED])
 
 
@@ -199,84 +228,83 @@ def _wide(buckets: pa.RecordBatch | None, mixed: pa.RecordBatch | None) -> pa.Re
 
 
 def text_hash(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """16 bits of each text's hash, which tell texts of one id apart."""
-    out = np.zeros(len(offs) - 1, np.int64)
+    """A hash of each text, which tells texts of one id apart."""
+    out = np.zeros(len(offs) - 1, U64)
     for i, j in kit.chunks(offs):
         h = kit.span_hash(kit.prefix_hash(data[offs[i] : offs[j]]), offs[i:j] - offs[i], offs[i + 1 : j + 1] - offs[i])
-        out[i:j] = (h >> U64(48)).astype(np.int64)
-    return out
+        out[i:j] = h
+    return out.astype(np.int64)
 
 
 def match(contexts: DataFrame) -> DataFrame:
     """Step 2 on contexts by bucket: marks and requests by document."""
+    hot = HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = zstandard.ZstdDecompressor()
         parts = [from_planes(x.as_py(), CONTEXT, opener) for b in batches for x in b.column(1)]
         if not parts:
             return
-        c, first = firsts(np.concatenate(parts))
+        c = np.concatenate(parts)
         del parts
+        told = np.unique(c["h"][c["n"] == SPLIT])
+        c, first = firsts(c[c["n"] != SPLIT])
         again = c[~first]
         if len(again):
             yield _marks(again["doc"], again["th"], again["at"], again["at"] + again["n"].astype(np.int64) + LENGTH)
         c = c[first]
-        edge = np.flatnonzero(np.concatenate([[True], c["h"][1:] != c["h"][:-1]])[: len(c)])
-        kinds = np.diff(np.append(edge, len(c)))
-        each = np.repeat(kinds, kinds)
-        c, each = c[each > 1], each[each > 1]
-        if len(c):
-            ask = np.zeros(len(c), ASK)
-            for name in ("h", "at", "a", "n"):
-                ask[name] = c[name]
-            salts = np.minimum(-(-each // HOT), 65535)
-            ask["salt"] = np.where(salts > 1, 1 + kit.mix(c["doc"].astype(U64) + c["at"]).astype(U64) % salts.astype(U64), 0)
-            yield _by_doc(c["doc"], c["th"], ask, ASKS)
+        each = _sizes(c["h"])
+        salts = np.where(np.isin(c["h"], told), SALTS, np.minimum(-(-each // hot), SALTS))
+        asked = (each > 1) | (salts > 1)
+        if asked.any():
+            yield _asks(c[asked], salts[asked])
 
-    return contexts.select("bucket", "payload").repartition("bucket").mapInArrow(run, "doc long, th int, kind byte, payload binary")
+    return contexts.select("bucket", "payload").repartition("bucket").mapInArrow(run, "doc long, th long, kind byte, payload binary")
 
 
 def meet(rows: DataFrame, buckets: int, keep: bool, carried: str | None, last: bool) -> DataFrame:
     """Steps 3 and 5 on texts, marks and requests: results, and (unless last) open texts, their marks and asked contexts."""
     extra = ", c " + carried if carried else ""
-    result = "bucket long, doc long, th int, kind byte, payload binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string" + extra
+    result = "bucket long, doc long, th long, kind byte, payload binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string" + extra
     c_type = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, opener = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        key, texts, marks, asks = None, [], [], []
+        key, marks, asks, seen = None, [], [], b""
+        spans: tuple[list, list] | None = None  # of key, joined, once its first text is there
         out: list[dict] = []
         ctx: list[tuple] = []
         size = 0
 
-        def closed() -> None:
-            nonlocal size
-            if key is None:
+        def met(text: bytes, c) -> None:
+            """One text of key, after all its marks and requests."""
+            nonlocal size, spans, seen
+            body = opener.decompress(text)
+            new = spans is None
+            if new:
+                m = np.concatenate(marks) if marks else np.zeros(0, MARK)
+                at, end = joined(m["at"].astype(np.int64), m["end"].astype(np.int64))
+                spans, seen = (at.tolist(), end.tolist()), body
+            elif body != seen:
+                raise ValueError(f"two texts of id {key[0]} have the same 64-bit hash")
+            if asks and not last:
+                if new:
+                    for x in np.concatenate(asks):
+                        at, stop = int(x["at"]), int(x["at"]) + int(x["n"]) + LENGTH
+                        ctx.append((int(x["h"]), int(x["salt"]), int(x["a"]), key[0], key[1], at, body[at:stop]))
+                    if marks:
+                        out.append({"doc": key[0], "th": key[1], "kind": MARKS, "payload": b"".join(m.tobytes() for m in marks)})
+                out.append({"doc": key[0], "th": key[1], "kind": TEXT, "payload": text, "c": c})
+                size += len(text)
                 return
-            if asks and texts and not last:
-                ask = np.concatenate(asks)
-                body = opener.decompress(texts[0][0])
-                for x in ask:
-                    at, stop = int(x["at"]), int(x["at"]) + int(x["n"]) + LENGTH
-                    ctx.append((int(x["h"]), int(x["salt"]), int(x["a"]), key[0], key[1], at, body[at:stop]))
-                for text, c in texts:
-                    out.append({"doc": key[0], "th": key[1], "kind": TEXT, "payload": text, "c": c})
-                if marks:
-                    out.append({"doc": key[0], "th": key[1], "kind": MARKS, "payload": b"".join(m.tobytes() for m in marks)})
-                size += sum(len(t) for t, _ in texts)
-                return
-            m = np.concatenate(marks) if marks else np.zeros(0, MARK)
-            at, end = joined(m["at"].astype(np.int64), m["end"].astype(np.int64))
-            for text, c in texts:
-                body = opener.decompress(text)
-                left, before = [], 0
-                for s, e in zip(at.tolist(), end.tolist()):
-                    left.append(body[before:s])
-                    before = e
-                left.append(body[before:])
-                kept = b"".join(left)
-                out.append({"doc": key[0], "kind": -1, "n_bytes": len(body), "n_removed": len(body) - len(kept), "n_spans": len(at), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept.decode("utf-8", "ignore") if keep else None, "c": c})
-                size += len(kept) if keep else 100
+            left, before = [], 0
+            for s, e in zip(*spans):
+                left.append(body[before:s])
+                before = e
+            left.append(body[before:])
+            kept = b"".join(left)
+            out.append({"doc": key[0], "kind": -1, "n_bytes": len(body), "n_removed": len(body) - len(kept), "n_spans": len(spans[0]), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": as_text(body, spans) if keep else None, "c": c})
+            size += len(kept) if keep else 100
 
         def sent() -> Iterator[pa.RecordBatch]:
             nonlocal out, ctx, size
@@ -295,23 +323,34 @@ def meet(rows: DataFrame, buckets: int, keep: bool, carried: str | None, last: b
             cs = b.column(at["c"]).to_pylist() if carried else [None] * b.num_rows
             for doc, th, kind, payload, c in zip(*(b.column(at[n]).to_pylist() for n in ("doc", "th", "kind", "payload")), cs):
                 if (doc, th) != key:
-                    closed()
-                    key, texts, marks, asks = (doc, th), [], [], []
+                    key, marks, asks, spans = (doc, th), [], [], None
+                if kind == TEXT:
+                    met(payload, c)
                     if size > 8 << 20 or len(out) > 20_000:
                         yield from sent()
-                if kind == TEXT:
-                    texts.append((payload, c))
                 elif kind == MARKS:
                     marks.append(np.frombuffer(payload, MARK))
                 else:
                     asks.append(np.frombuffer(payload, ASK))
-        closed()
         yield from sent()
 
     return rows.repartition("doc", "th").sortWithinPartitions("doc", "th", "kind").mapInArrow(run, result)
 
 
-_HEAD = np.dtype([("h", "<u8"), ("doc", "<i8"), ("th", "<u2"), ("salt", "<u2"), ("at", "<u4"), ("a", "u1"), ("size", "u1")])
+_HEAD = np.dtype([("h", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("salt", "<u2"), ("at", "<u4"), ("a", "u1"), ("size", "u1")])
+
+
+def as_text(body: bytes, spans: tuple[list, list]) -> str:
+    """The remaining bytes as text; a character that a cut leaves in part stays whole, as its bytes were not all repeats."""
+    out, before = [], 0
+    for s, e in [*zip(*spans), (len(body), len(body))]:
+        while s < len(body) and body[s] & 0xC0 == 0x80:
+            s += 1
+        out.append(body[before:s])
+        while e < len(body) and body[e] & 0xC0 == 0x80:
+            e -= 1
+        before = max(s, e)
+    return b"".join(out).decode("utf-8", "replace")
 
 
 def pack_contexts(rows: list[tuple]) -> bytes:
@@ -386,11 +425,11 @@ def settle(windows: DataFrame) -> DataFrame:
         if m.any():
             yield _marks(w["doc"][m], w["th"][m], w["at"][m].astype(np.int64), w["at"][m].astype(np.int64) + LENGTH)
 
-    return windows.select("bucket", "payload").repartition("bucket").mapInArrow(run, "doc long, th int, kind byte, payload binary")
+    return windows.select("bucket", "payload").repartition("bucket").mapInArrow(run, "doc long, th long, kind byte, payload binary")
 
 
-def packed(docs: DataFrame, carried: str | None) -> DataFrame:
-    """Texts as rows that meet marks: id, 16 bits of hash, compressed bytes, and the carried columns."""
+def packed(docs: DataFrame, carried: str | None, repeated: bool) -> DataFrame:
+    """Texts as rows that meet marks: id, the text's hash where an id has several rows, compressed bytes, and the carried columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
@@ -398,14 +437,14 @@ def packed(docs: DataFrame, carried: str | None) -> DataFrame:
             data, offs = kit.flat(b.column(1))
             body = data.tobytes()
             zipped = pa.array([packer.compress(body[s:e]) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist())], pa.binary())
-            cols = [b.column(0).cast(pa.int64()).fill_null(-(1 << 63)), pa.array(text_hash(data, offs).astype(np.int32)), pa.array(np.full(b.num_rows, TEXT, np.int8)), zipped]
+            cols = [b.column(0).cast(pa.int64()).fill_null(-(1 << 63)), pa.array(text_hash(data, offs) if repeated else np.zeros(b.num_rows, np.int64)), pa.array(np.full(b.num_rows, TEXT, np.int8)), zipped]
             yield pa.RecordBatch.from_arrays([*cols, *([b.column(2)] if carried else [])], names=["doc", "th", "kind", "payload", *(["c"] if carried else [])])
 
-    return docs.mapInArrow(run, "doc long, th int, kind byte, payload binary" + (f", c {carried}" if carried else ""))
+    return docs.mapInArrow(run, "doc long, th long, kind byte, payload binary" + (f", c {carried}" if carried else ""))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; kept (the remaining bytes as text, without parts of characters that were cut) with keep_text; the columns of carry."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; kept (the remaining bytes as text, characters of which a byte remains whole) with keep_text; the columns of carry."""
     spark = docs.sparkSession
     buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -417,9 +456,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     def mixed(df: DataFrame) -> DataFrame:
         return df.select(*row, *empty)
 
-    pieces = kit.staged(cut(two, buckets), "contexts")
+    repeated = two.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+    pieces = kit.staged(cut(two, buckets, repeated), "contexts")
     asked = match(pieces.where("bucket is not null"))
-    met = kit.staged(meet(packed(three, carried).unionByName(mixed(pieces.where("bucket is null"))).unionByName(mixed(asked)), buckets, keep_text, carried, False), "met")
+    met = kit.staged(meet(packed(three, carried, repeated).unionByName(mixed(pieces.where("bucket is null"))).unionByName(mixed(asked)), buckets, keep_text, carried, False), "met")
     kit.drop(spark, pieces._staged_at)
     found = kit.staged(sort_blocks(met.where("bucket is not null").select("bucket", "payload"), buckets), "sorted")
     opened = met.where("bucket is null and kind >= 0").select(*row, *(["c"] if carry else []))

@@ -58,6 +58,28 @@ def test_dedup(spark, texts, monkeypatch, hot):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
 
 
+def test_dedup_of_repeated_ids(spark):
+    """Texts of one id, null ones too, are told apart, ordered by their hash; equal ones of an id are one document."""
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    rows = [(None if k % 3 else 5, f"{rng.random()} {base[s : s + 250]} {rng.random()}") for k in range(1500) for s in [rng.randrange(350)]]
+    rows += rows[:3] + [(None, None), (None, "")]
+    got = dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    key = lambda i, t: (-1 if i is None else i, int(dedup.text_hash(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]), t)
+    texts = sorted({key(i, (t or "").encode()) for i, t in rows})
+    want = repeats([(k, t) for k, (_, _, t) in enumerate(texts)])
+    at = {(i, hashlib.sha256(t).hexdigest()): want[k] for k, (i, _, t) in enumerate(texts)}
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter((i, *at[key(i, (t or "").encode())[0], hashlib.sha256((t or "").encode()).hexdigest()]) for i, t in rows)
+
+
+def test_remaining_text_keeps_characters():
+    body = "aé€b".encode()  # 1, 2, 3 and 1 bytes
+    for s in range(len(body)):
+        for e in range(s + 1, len(body) + 1):
+            whole = "".join(c for c, a, b in (("a", 0, 1), ("é", 1, 3), ("€", 3, 6), ("b", 6, 7)) if a < s or b > e)
+            assert dedup.as_text(body, ([s], [e])) == whole
+
+
 def test_pieces_of_long_texts(monkeypatch):
     data = np.frombuffer(("abc" * 50 + "def" * 70 + "x1y2z3" * 90).encode() * 3, np.uint8)
     offs = np.array([0, len(data)])
