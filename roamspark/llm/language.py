@@ -7,17 +7,19 @@ language is the sum over all its words, divided by the characters predicted; the
 A model of a language is, for each order, a sorted array of 64-bit n-gram hashes with discounted probabilities, and one of context hashes with
 back-off weights. Highest-order counts are raw, those below are continuation counts, with one absolute discount for each order.
 
-Fitting takes the DOCS_PER_LANG labelled documents of each language with the least hash of their id, whole: one fifth calibrates, the rest trains.
-Calibration fits the temperature of score = softmax(-bits / temperature), and the mean and spread of each language's own cross-entropy;
-a text whose best cross-entropy exceeds that mean by more than REJECT spreads (wider for short texts) is rejected.
+Every language that a document is labelled with is learned. Fitting takes the DOCS_PER_LANG labelled documents of each language with the least hash of id and text, whole: one fifth
+calibrates (at most CALIBRATED over all languages), the rest trains. Models stay in a staged table; documents are scored by BLOCK languages at a time, and what is kept of a block is the
+best language, its bits and the sum that the score needs, so that neither the driver nor a task holds more models than those. Calibration fits the temperature of score = softmax(-bits / temperature), and the mean and spread of each language's own cross-entropy;
+a text whose best cross-entropy exceeds that mean by more than REJECT spreads (wider for short texts) is rejected. Which documents have the least hashes is found from numbers of
+documents by leading bits of the hash first, so that no task ranks a whole language.
 
 Defined results: a null text or one without any letter is `und`, score 0, rejected; ties take the language that sorts first; repeated rows are scored alike;
-documents with a null language are never fitted on; without any labelled document all are `und`; an empty table gives no rows; texts of any length are read whole.
+documents with a null language are never fitted on, rows that repeat id, text and language once; without any labelled document all are `und`; an empty table gives no rows; texts of any
+length are read whole; columns besides those named and those of keep are neither read nor returned, whatever they are called.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,8 @@ from . import kit
 
 ORDER = 5
 DOCS_PER_LANG = 500
-#: Languages learned, the most frequent ones.
-MAX_LANGS = 200
+#: Languages whose models are in memory at a time; documents that calibrate.
+BLOCK, CALIBRATED = 64, 20_000
 REJECT = 8.0
 #: Least variance between documents of a language: the threshold is then 3 bits above its mean, which a text half in another learned language stays below.
 LEAST_VAR = 0.15
@@ -167,33 +169,51 @@ def lettered(text: str | None) -> bool:
 
 
 class Identifier:
-    """Models of all languages with what calibration found; spread: of each language mean, own variance, variance of a character's bits."""
-
-    def __init__(self, langs: list[str], models: list[Model], temperature: float = 1.0, spread: np.ndarray | None = None):
-        self.langs, self.models, self.temperature, self.spread = langs, models, temperature, spread
-
-    def decide(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Best language, score, its bits a character, rejected."""
-        n = np.maximum(sums[:, -1:], 1)
-        bits = sums[:, :-1] / n
-        best = bits.argmin(1)
-        own = bits[np.arange(len(bits)), best]
-        z = -(bits - own[:, None]) * np.sqrt(n) / self.temperature
-        score = 1 / np.exp(z).sum(1)
-        bad = np.zeros(len(bits), bool)
-        if self.spread is not None:
-            mean, var, each = self.spread[best].T
-            bad = own > mean + REJECT * np.sqrt(var + each / n[:, 0])
-        return best, score, own, bad
+    """Models of all languages in a staged table, with what calibration found; spread: of each language mean, own variance, variance of a character's bits."""
+
+    def __init__(self, langs: list[str], table: DataFrame | None, temperature: float = 1.0, spread: np.ndarray | None = None):
+        self.langs, self.table, self.temperature, self.spread = langs, table, temperature, spread
+
+    def blocks(self) -> Iterator[list[Model]]:
+        """The models of BLOCK languages at a time, in order."""
+        for i in range(0, len(self.langs), BLOCK):
+            by: dict[str, list] = {lang: [] for lang in self.langs[i : i + BLOCK]}
+            for r in self.table.where(F.col("lang").isin(list(by))).orderBy("lang", "k").toLocalIterator():
+                by[r.lang].append(r)
+            yield [Model(*([np.frombuffer(r[c], t) for r in rs] for c, t in (("grams", np.uint64), ("prob", np.float32), ("contexts", np.uint64), ("back", np.float32))), rs[0].floor) for rs in by.values()]
+
+
+def state_of(sums: np.ndarray, start: int, temperature: float, before: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the best language so far (its number; the first of equals), its bits a character, and the sum of exp(z) over the languages, z = 0 for the best. before: of languages
+    before start."""
+    n = np.maximum(sums[:, -1:], 1)
+    bits = sums[:, :-1] / n
+    best = bits.argmin(1)
+    own = bits[np.arange(len(bits)), best]
+    scale = np.sqrt(n) / temperature
+    total = np.exp(-(bits - own[:, None]) * scale).sum(1)
+    if before is None:
+        return best + start, own, total
+    old, its, z = before
+    least = np.minimum(own, its)
+    total = total * np.exp(-(own - least) * scale[:, 0]) + z * np.exp(-(its - least) * scale[:, 0])
+    return np.where(own < its, best + start, old), least, total
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = DOCS_PER_LANG) -> Identifier:
     """Fits on docs, which hold only rows that may be learned from. At most per_lang whole documents of a language are read."""
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h")).where("lang is not null and text is not null")
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    ids = rows.where(F.col("lang").isin(langs)).select("lang", "h").distinct()  # ids alone are ranked; texts are read only once chosen
-    ranked = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_lang)
-    sample = kit.staged(rows.join(F.broadcast(ranked), ["lang", "h"]), "languages")  # at most MAX_LANGS * per_lang ids
+    text = F.col(text_col)
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("h")).where("lang is not null and text is not null")
+    ids = rows.select("lang", "h").distinct()  # hashes alone are ranked; texts are read only once chosen
+    cell = F.shiftright("h", 52).alias("cell")
+    sizes = ids.groupBy("lang", cell).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    least = sizes.withColumn("before", before).where(F.col("before") < per_lang).groupBy("lang").agg(F.max("cell").alias("most"))  # 4096 cells a language at most
+    near = ids.join(least, "lang").where(F.shiftright("h", 52) <= F.col("most")).select("lang", "h")
+    ranked = kit.staged(near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_lang), "ranked")
+    small = ranked.count() <= 1_000_000  # ids and ranks; beyond that a plain join
+    chosen = rows.join(F.broadcast(ranked) if small else ranked, ["lang", "h"])
+    sample = kit.staged(chosen.groupBy("lang", "h").agg(F.first("text").alias("text"), F.first("rank").alias("rank")), "languages")  # equal rows once
 
     def train(pdf):
         import pandas as pd
@@ -211,24 +231,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         m = Model.fit(list(counted), list(counted.values()))
         return pd.DataFrame([(pdf["lang"].iloc[0], k, m.grams[k].tobytes(), m.prob[k].tobytes(), m.contexts[k].tobytes(), m.back[k].tobytes(), m.floor) for k in range(ORDER)], columns=["lang", "k", "grams", "prob", "contexts", "back", "floor"])
 
-    parts = sample.where("rank % 5 <> 0 or rank is null").groupBy("lang").applyInPandas(train, "lang string, k int, grams binary, prob binary, contexts binary, back binary, floor double").collect()
-    by: dict[str, list] = OrderedDict()
-    for r in sorted(parts, key=lambda r: (r.lang, r.k)):
-        by.setdefault(r.lang, []).append(r)
-    models = [Model([np.frombuffer(r.grams, np.uint64) for r in rs], [np.frombuffer(r.prob, np.float32) for r in rs], [np.frombuffer(r.contexts, np.uint64) for r in rs], [np.frombuffer(r.back, np.float32) for r in rs], rs[0].floor) for rs in by.values()]
-    who = calibrated(Identifier(list(by), models), sample.where("rank % 5 = 0"))
-    kit.drop(docs.sparkSession, sample._staged_at)
+    models = sample.where("rank % 5 <> 0").groupBy("lang").applyInPandas(train, "lang string, k int, grams binary, prob binary, contexts binary, back binary, floor double")
+    table = kit.staged(models, "models")
+    langs = sorted(r.lang for r in table.where("k = 0").select("lang").collect())  # one short row a language
+    each = max(1, CALIBRATED // max(len(langs), 1))
+    who = calibrated(Identifier(langs, table), sample.where("rank % 5 = 0 and rank <= 5 * " + str(each)))
+    kit.drop(docs.sparkSession, sample._staged_at, ranked._staged_at)
     return who
 
 
 def calibrated(who: Identifier, held: DataFrame) -> Identifier:
     """Temperature and spreads from held documents (lang, text): one short row of sums for each reaches the driver."""
-    if not who.models:
+    if not who.langs:
         return who
-    got = [r for r in _scored(held.select("lang", "text"), who, raw=True).collect() if r.sums and r.sums[-1] > 0 and r.lang in who.langs]
+    at = {lang: k for k, lang in enumerate(who.langs)}
+    got = [r for r in _raw(held.select("lang", "text"), who).collect() if r.sums[-1] > 0 and r.lang in at]
     if not got:
         return who
-    sums, truth = np.array([r.sums for r in got]), np.array([who.langs.index(r.lang) for r in got])
+    sums, truth = np.array([r.sums for r in got]), np.array([at[r.lang] for r in got])
     n = sums[:, -1:]
     bits = sums[:, :-1] / n
 
@@ -247,38 +267,69 @@ def calibrated(who: Identifier, held: DataFrame) -> Identifier:
     return who
 
 
-def _scored(rows: DataFrame, who: Identifier, raw: bool = False) -> DataFrame:
-    """The first column and, of the second, the raw sums or the decision."""
-    shared = rows.sparkSession.sparkContext.broadcast(who)  # bounded by DOCS_PER_LANG texts for each language
-    key, kind = rows.columns[0], rows.schema[0].dataType.simpleString()
+def _sums(b: pa.RecordBatch, scorer: Scorer) -> Iterator[tuple[int, int, list, np.ndarray]]:
+    """Row ranges of a batch whose second column is text, with the texts and their sums."""
+    _, offs = kit.flat(b.column(1))
+    for i, j in kit.chunks(offs, 4 * kit.CHUNK):
+        texts = b.column(1).slice(i, j - i).to_pylist()
+        yield i, j, texts, scorer.texts(*_lowered(texts))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        who = shared.value
-        scorer = Scorer(who.models)
-        for b in batches:
-            _, offs = kit.flat(b.column(1))
-            for i, j in kit.chunks(offs, 4 * kit.CHUNK):
-                texts = b.column(1).slice(i, j - i).to_pylist()
-                sums = scorer.texts(*_lowered(texts))
-                ids = b.column(0).slice(i, j - i)
-                if raw:
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(sums.tolist(), pa.list_(pa.float64()))], names=[key, "sums"])
-                    continue
-                more = [c.slice(i, j - i) for c in b.columns[2:]]
-                yield pa.RecordBatch.from_arrays([ids, *_verdict(who, texts, sums), *more], names=[key, "lang_pred", "score", "bits", "rejected", *b.schema.names[2:]])
 
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])
-    return rows.mapInArrow(run, f"`{key}` {kind}, " + ("sums array<double>" if raw else "lang_pred string, score double, bits double, rejected boolean" + more))
+def _raw(rows: DataFrame, who: Identifier) -> DataFrame:
+    """lang of rows(lang, text) and sums: the bits of the text in each language, and its characters."""
+    context = rows.sparkSession.sparkContext
+    out = rows.withColumn("sums", F.array().cast("array<double>"))
+    for models in who.blocks():
+        shared = context.broadcast(models)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(shared.value)
+            for b in batches:
+                for i, j, _, sums in _sums(b, scorer):
+                    old = b.column(2).slice(i, j - i).to_pylist()
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([[*o[:-1], *s] for o, s in zip(old, sums.tolist())], pa.list_(pa.float64()))], names=["lang", "text", "sums"])
+
+        out = out.mapInArrow(run, out.schema)
+        out = kit.staged(out, "sums") if len(who.langs) > BLOCK else out
+    return out.select("lang", "sums")
 
 
-def _verdict(who: Identifier, texts: list, sums: np.ndarray) -> list[pa.Array]:
-    clear = np.array([lettered(t) for t in texts], bool) & (sums[:, -1] > 0)
-    if not who.models:
-        clear[:] = False
-        best, score, bits, bad = (np.zeros(len(texts), int), *(np.zeros(len(texts)),) * 2, np.ones(len(texts), bool))
-    else:
-        best, score, bits, bad = who.decide(sums)
-    return [pa.array([who.langs[k] if ok else "und" for k, ok in zip(best, clear)], pa.string()), pa.array(np.where(clear, score, 0.0)), pa.array(np.where(clear, bits, 0.0)), pa.array(bad | ~clear)]
+def _scored(rows: DataFrame, who: Identifier) -> DataFrame:
+    """rows(id, text, ...) with the decision instead of the text; staged between blocks of languages."""
+    context = rows.sparkSession.sparkContext
+    key, kind = rows.columns[0], rows.schema[0].dataType.simpleString()
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])
+    out, n = rows.select(*rows.columns, F.lit(None).cast("long").alias("_best"), F.lit(None).cast("double").alias("_own"), F.lit(None).cast("double").alias("_z")), len(rows.columns)
+    langs, temperature, spread = who.langs, who.temperature, who.spread
+    starts = list(range(0, len(langs), BLOCK)) or [0]
+    for start, models in zip(starts, who.blocks() if langs else [[]]):
+        shared, last = context.broadcast(models), start == starts[-1]
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, start=start, last=last) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(shared.value)
+            for b in batches:
+                for i, j, texts, sums in _sums(b, scorer):
+                    part = [c.slice(i, j - i) for c in b.columns]
+                    before = tuple(c.to_numpy() for c in part[n:]) if start else None
+                    state = state_of(sums, start, temperature, before) if langs else (np.zeros(j - i, np.int64), np.zeros(j - i), np.ones(j - i))
+                    if last:
+                        yield pa.RecordBatch.from_arrays([part[0], *_verdict(langs, spread, texts, sums[:, -1], *state), *part[2:n]], names=[key, "lang_pred", "score", "bits", "rejected", *b.schema.names[2:n]])
+                    else:
+                        yield pa.RecordBatch.from_arrays([*part[:n], *map(pa.array, state)], names=b.schema.names)
+
+        if last:
+            return out.mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, bits double, rejected boolean{more}")
+        out = kit.staged(out.mapInArrow(run, out.schema), "block")
+    raise AssertionError("no block")
+
+
+def _verdict(langs: list[str], spread: np.ndarray | None, texts: list, n: np.ndarray, best: np.ndarray, own: np.ndarray, z: np.ndarray) -> list[pa.Array]:
+    clear = np.array([lettered(t) for t in texts], bool) & (n > 0) & bool(langs)
+    bad = np.zeros(len(texts), bool)
+    if spread is not None:
+        mean, var, each = spread[best].T
+        bad = own > mean + REJECT * np.sqrt(var + each / np.maximum(n, 1))
+    return [pa.array([langs[k] if ok else "und" for k, ok in zip(best, clear)], pa.string()), pa.array(np.where(clear, 1 / z, 0.0)), pa.array(np.where(clear, own, 0.0)), pa.array(bad | ~clear)]
 
 
 def identify(docs: DataFrame, who: Identifier, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

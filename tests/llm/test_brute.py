@@ -316,8 +316,68 @@ def test_kneser_ney_sums_to_one():
         g, ctx, longest, _ = language._grams([("ab" + c).strip()], 3)
         p += 2 ** -m.bits(g, ctx, longest)[2]
     assert 0.9 < p <= 1.0
-    who = language.Identifier(["x"], [m])
-    assert language.Scorer(who.models).texts(np.frombuffer(b"zzzz qqqq", np.uint8), np.array([0, 9]))[0, 0] / 10 > 5
+    assert language.Scorer([m]).texts(np.frombuffer(b"zzzz qqqq", np.uint8), np.array([0, 9]))[0, 0] / 10 > 5
+
+
+def plain_kneser_ney(words, order):
+    """Bits of a word by dictionaries of counts."""
+    spots = [(f" {w} ", i, n) for w, n in words.items() for i in range(1, len(w) + 2)]
+    tables = {}
+    for k in range(order, 0, -1):
+        count = Counter()
+        for w, i, n in spots:
+            if min(i + 1, order) == k:
+                count[w[i - k + 1 : i + 1]] += n
+        if k < order:
+            for longer in {w[i - k : i + 1] for w, i, _ in spots if min(i + 1, order) > k}:
+                count[longer[1:]] += 1
+        n1, n2 = (sum(v == x for v in count.values()) for x in (1, 2))
+        d = min(max(n1 / (n1 + 2 * n2), 0.1), 0.9) if n1 else 0.5
+        total, kinds = Counter(), Counter()
+        for g, v in count.items():
+            total[g[:-1]] += v
+            kinds[g[:-1]] += 1
+        tables[k] = {g: (v - d) / total[g[:-1]] for g, v in count.items()}, {c: d * kinds[c] / t for c, t in total.items()}
+
+    def bits(word):
+        w, out = f" {word} ", 0.0
+        for i in range(1, len(w)):
+            p = 1 / (len(tables[1][0]) + 256)
+            for k in range(1, min(i + 1, order) + 1):
+                prob, back = tables[k]
+                if (c := w[i - k + 1 : i]) in back:
+                    p = prob.get(w[i - k + 1 : i + 1], 0.0) + back[c] * p
+            out -= math.log2(p)
+        return out
+
+    return bits
+
+
+def test_kneser_ney_is_what_counting_says(texts):
+    words = Counter(w for t in list(texts.values())[:40] for w in "".join(c if c.isalpha() else " " for c in t.lower()).split())
+    m, plain = language.Model.fit(list(words), list(words.values())), plain_kneser_ney(words, language.ORDER)
+    asked = [*list(words)[:200], "zzz", "thé", "q", "unseenword"]
+    got = language.Scorer([m]).words(asked)
+    assert np.allclose(got[:, 0], [plain(w) for w in asked], rtol=1e-4) and got[:, 1].tolist() == [len(w) + 1 for w in asked]
+
+
+def test_languages_in_blocks(spark, docs, monkeypatch):
+    """Scoring a language at a time gives what all at once give; every labelled language is learned."""
+    rows = docs.withColumn("lang", F.concat("lang", (F.col("doc_id") % 3).cast("string")))
+    want = {r.doc_id: r for r in language.identify(docs, language.fit(rows)).collect()}
+    monkeypatch.setattr(language, "BLOCK", 5)
+    who = language.fit(rows)
+    assert who.langs == sorted({r.lang for r in rows.select("lang").collect()}) and len(who.langs) > 10
+    for r in language.identify(docs, who).collect():
+        w = want[r.doc_id]
+        assert (r.lang_pred, r.rejected) == (w.lang_pred, w.rejected) and math.isclose(r.score, w.score, rel_tol=1e-9) and math.isclose(r.bits, w.bits, rel_tol=1e-9)
+
+
+def test_language_sample_of_repeated_ids(spark):
+    """Rows without an id are drawn by their texts, equal ones once."""
+    rows = [(None, f"{a} {b} one two three", "xx") for a in "abcdefghij" for b in "klmnopqrst"] * 2 + [(1, "vier fünf sechs", "yy")]
+    who = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=20)
+    assert who.langs == ["xx", "yy"]
 
 
 def edits(a, b):
