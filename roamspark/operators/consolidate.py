@@ -11,13 +11,23 @@ from pyspark.sql import functions as F
 from .templates import Parser
 
 
+#: Parsers that are tried in one pass over the representatives.
+BLOCK = 2000
+
+
 def coverage(samples: DataFrame, representatives: DataFrame, parsers: DataFrame) -> DataFrame:
     """parser_id, skeleton of the pairs whose representative and every sampled line the pattern matches whole.
 
-    Parsers are few (one for each group that was induced) and samples bounded, so the product is of those, not of lines; only pairs whose representative matches meet their samples."""
-    p = F.broadcast(parsers.where("pattern is not null").select("parser_id", "pattern").limit(10_000))
-    first = representatives.select("skeleton", "representative").join(p, F.expr("representative rlike pattern")).select("parser_id", "skeleton", "pattern")
-    return samples.select("skeleton", "content").join(first, "skeleton").groupBy("parser_id", "skeleton").agg(F.bool_and(F.expr("content rlike pattern")).alias("all")).where("all").select("parser_id", "skeleton")
+    Parsers, one for each group that was induced, are broadcast BLOCK at a time, so all of them meet all representatives, one row a structure; only pairs whose representative matches meet
+    their samples."""
+    held = parsers.where("pattern is not null").select("parser_id", "pattern")
+    blocks = max(1, -(-held.count() // BLOCK))
+    out = None
+    for k in range(blocks):
+        part = held if blocks == 1 else held.where(F.pmod(F.xxhash64("parser_id"), F.lit(blocks)) == k)
+        first = representatives.select("skeleton", "representative").join(F.broadcast(part), F.expr("representative rlike pattern")).select("parser_id", "skeleton", "pattern")
+        out = first if out is None else out.unionByName(first)
+    return samples.select("skeleton", "content").join(out, "skeleton").groupBy("parser_id", "skeleton").agg(F.bool_and(F.expr("content rlike pattern")).alias("all")).where("all").select("parser_id", "skeleton")
 
 
 @dataclass

@@ -13,6 +13,7 @@ from .templates import Parser
 #: Parsers that are written into the plan, each pattern compiled once; above, patterns come from the joined table.
 INLINE = 200
 MAX_BROADCAST_PARSERS = 100_000
+# fixed values: slots in the order in which they count
 AP_NAMES = ["ap_ip", "ap_ip_1", "ap_ip_2", "ap_name", "ap_name_1", "ap_name_2", "ap", "ap_id"]
 CLIENT_NAMES = ["client_ip_2", "client_ip_1", "client_ip", "client_name_2", "client_name_1", "client_name", "client", "client_id"]
 TABLE = "skeleton string, group_id int, pattern string, names array<string>, flag int, example string"
@@ -35,9 +36,11 @@ def captured(content: Column, parsers: list[Parser] | None = None, group: str =
 
     def taken(pattern: Column, n: Column | int, names: Column) -> Column:
         mark = F.expr("concat('\\u0002', array_join(transform(sequence(1, size(names)), i -> concat('$', i)), '\\u0001'))") if not isinstance(n, int) else F.lit("\u0002" + "\u0001".join(f"${i + 1}" for i in range(n)))
-        x = F.regexp_replace(content, pattern, mark)
-        pairs = F.transform(F.array(x), lambda v: F.when(v.startswith("\u0002"), _last_wins(names, F.split(F.substr(v, F.lit(2)), "\u0001", -1))))  # the pattern runs once
-        return F.element_at(pairs, 1)
+        x = F.when(~content.rlike("[\u0001\u0002]"), F.regexp_replace(content, pattern, mark))
+        places = F.sequence(F.lit(1), F.size(names))
+        slowly = F.when(F.regexp_like(content, pattern), _last_wins(names, F.transform(places, lambda k: F.regexp_extract_all(content, pattern, k)[0])))  # a pass for each capture, where the line holds a mark of its own
+        fast = lambda v: F.when(v.startswith("\u0002"), _last_wins(names, F.split(F.substr(v, F.lit(2)), "\u0001", -1)))
+        return F.element_at(F.transform(F.array(x), lambda v: F.when(v.isNotNull(), fast(v)).otherwise(slowly)), 1)  # the pattern runs once
 
     if by_group is None:
         return F.when(F.size("names") > 0, taken(F.col("pattern"), F.size("names"), F.col("names")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fragment_keys, json_fragments, once, preprocess, skeleton, standardise
+from ..session import ranked
 from .header import HeaderRule, split_header
 
 SAMPLE = 200
@@ -37,7 +38,7 @@ def key_rows(rows: DataFrame) -> DataFrame:
 def micro_groups(lines: DataFrame) -> DataFrame:
     """skeleton, n, first_idx, representative (the first line), group_id by first appearance. Counts are summed before the shuffle, so a skeleton that most lines share costs one row a task."""
     got = lines.groupBy("skeleton").agg(F.count("*").alias("n"), F.min("line_index").alias("first_idx"), F.min_by("content", "line_index").alias("representative"))
-    return got.withColumn("group_id", F.row_number().over(Window.orderBy("first_idx", "skeleton")) - 1)
+    return ranked(got, "first_idx", ["skeleton"], "group_id")
 
 
 def by_size(groups: DataFrame) -> DataFrame:
@@ -58,7 +59,10 @@ def merge_groups(old: DataFrame, new: DataFrame) -> DataFrame:
     """Groups of two scans as one: counts add up, the earlier first line and id stay, new skeletons get the next ids."""
     both = old.select("skeleton", "n", "first_idx", "representative", "group_id").unionByName(new.select("skeleton", "n", "first_idx", "representative", F.lit(None).cast("int").alias("group_id")))
     one = both.groupBy("skeleton").agg(F.sum("n").alias("n"), F.min_by("first_idx", F.coalesce("group_id", F.lit(2**31 - 1))).alias("first_idx"), F.min_by("representative", F.coalesce("group_id", F.lit(2**31 - 1))).alias("representative"), F.min("group_id").alias("held"))
-    return one.withColumn("group_id", F.row_number().over(Window.orderBy(F.col("held").isNull(), "held", "first_idx", "skeleton")) - 1).drop("held")
+    next_id = old.agg((F.coalesce(F.max("group_id"), F.lit(-1)) + 1).alias("next"))
+    fresh = ranked(one.where("held is null"), "first_idx", ["skeleton"], "place").crossJoin(F.broadcast(next_id)).withColumn("group_id", F.col("place") + F.col("next"))  # one row
+    columns = ["skeleton", "n", "first_idx", "representative"]
+    return one.where("held is not null").select(*columns, F.col("held").cast("long").alias("group_id")).unionByName(fresh.select(*columns, F.col("group_id").cast("long").alias("group_id")))
 
 
 def distinct_in_order(rows: DataFrame, column: str = "content") -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import once
@@ -138,9 +138,12 @@ def _native(lines: DataFrame, rule: HeaderRule, parts, pattern: str) -> DataFram
     before, one, between, two, after, date_first = parts
     whole = rf"(?U)\A([\s\S]*?{before})({one}){between}({two})(?={after})([\s\S]*)\z"
     line = normalised(F.col("raw"))
-    x = F.regexp_replace(line, whole, "\u0002$1\u0001$2\u0001$3\u0001$4")
-    got = once(lines, _x=x)
-    got = once(got, _p=F.when(F.col("_x").startswith("\u0002"), F.split(F.substr("_x", F.lit(2)), "\u0001", 4)))
+    x = F.regexp_replace("_line", whole, "\u0002$1\u0001$2\u0001$3\u0001$4")
+    marked = F.when(F.col("_x").startswith("\u0002"), F.split(F.substr("_x", F.lit(2)), "\u0001", 4))
+    slowly = F.when(F.col("_line").rlike(whole), F.array(*[F.regexp_extract("_line", whole, k) for k in range(1, 5)]))  # a pass for each group, where the line holds a mark of its own
+    got = once(lines, _line=line)
+    got = once(got, _x=F.when(~F.col("_line").rlike("[\u0001\u0002]"), x))
+    got = once(got, _p=F.when(F.col("_x").isNotNull(), marked).otherwise(slowly))
     date, time = (F.element_at("_p", F.lit(k)) for k in ((2, 3) if date_first else (3, 2)))
     text = F.concat_ws(" ", *([] if rule.has_year else [F.lit(str(BASE_YEAR))]), clean_value(date, rule.date_format), clean_value(time, rule.time_format))
     ts = F.try_to_timestamp(F.regexp_replace(text, r"\s+", " "), F.lit(re.sub(r"\s+", " ", pattern)))
@@ -199,8 +202,10 @@ def _python(lines: DataFrame, rule: HeaderRule) -> DataFrame:
 
 
 def report(split: DataFrame, examples: int = 5) -> DataFrame:
-    """status, n, the first examples: one aggregate, from which the success rate follows."""
-    return split.groupBy("status").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list(F.when(F.col("line_index") < 20_000, F.struct("line_index", "raw")))), 1, examples)["raw"].alias("examples"))
+    """status, n, the first examples by line number; the success rate follows from it. The window keeps so many of each status in each task before it shuffles."""
+    first = split.select("status", "line_index", "raw").withColumn("place", F.row_number().over(Window.partitionBy("status").orderBy("line_index"))).where(F.col("place") <= examples)
+    shown = first.groupBy("status").agg(F.sort_array(F.collect_list(F.struct("line_index", "raw")))["raw"].alias("examples"))
+    return split.groupBy("status").agg(F.count("*").alias("n")).join(shown, "status")
 
 
 def success_rate(counts: dict[str, int]) -> float:

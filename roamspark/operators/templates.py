@@ -33,14 +33,11 @@ def compile_template(template: str | None) -> tuple[str, tuple[str, ...]]:
     """Pattern and names of a template that covers a whole line; ValueError where there is none."""
     if not template or not template.strip():
         raise ValueError("no template")
-    out, names, last = [], [], 0
-    for m in _PLACE.finditer(template):
-        out.append(literal(template[last : m.start()]))
-        named = base_name(m[1]) in FIELDS
-        out.append("(.*?)" if named else ".*?")
-        names += [m[1]] if named else []
-        last = m.end()
-    return rf"(?d)\A{''.join(out)}{literal(template[last:])}\z", tuple(names)
+    pieces = _PLACE.split(template)  # literals at even places, names at odd ones
+    named = [n for n in pieces[1::2] if base_name(n) in FIELDS]
+    pieces[::2] = map(literal, pieces[::2])
+    pieces[1::2] = ["(.*?)" if n in named else ".*?" for n in pieces[1::2]]
+    return rf"(?d)\A{''.join(pieces)}\z", tuple(named)
 
 
 def anchored(regex: str) -> str:

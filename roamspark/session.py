@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parent
 
@@ -28,6 +30,40 @@ def local_session(cores: str = "*", app: str = "roamspark", conf: dict[str, str]
     )
 
 
+_own_dirs: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new folder of this machine in local mode (tests), and ValueError on a cluster."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        at = held.get() if held.isDefined() else None
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        at = _own_dirs.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="roamspark-")
+        _own_dirs[app] = at
+    return at.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: lineage ends there, and lost executors lose nothing."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, index: str, ties: list[str], name: str, step: int = 1 << 20) -> DataFrame:
+    """df with name, its rank from 0 by the whole number index and ties. Rows are ranked within ranges of step and added to the number of rows before, so no task ranks all of them."""
+    cell = F.floor(F.col(index) / step)
+    sizes = df.groupBy(cell.alias("_cell")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_cell", F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each step
+    own = F.row_number().over(Window.partitionBy("_cell").orderBy(index, *ties))
+    return df.withColumn("_cell", cell).withColumn(name, own).join(before, "_cell").withColumn(name, F.col(name) + F.col("_before") - 1).drop("_cell", "_before")
+
+
 def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few rows of the driver as a table that stays in the JVM: through Arrow, so that no task has to start Python to read it."""
     import pyarrow as pa

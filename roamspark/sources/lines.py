@@ -7,22 +7,40 @@ import os
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import local_table
+from ..session import local_table, ranked
 
 #: What str.splitlines() splits on.
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_index (from 0, blank lines counted), raw: split at \\n alone, trailing \\r gone, bytes that are not UTF-8 dropped.
+def _valid(value: Column) -> Column:
+    """Bytes that are not UTF-8 dropped; replacement characters that the file holds stay."""
+    held = "\ufdd0\ufdd1\ufdd0"  # not characters: they stand for those while broken bytes become such ones
+    kept = F.replace(value, F.lit("\ufffd"), F.lit(held))
+    return F.when(F.is_valid_utf8(value), value).otherwise(F.replace(F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit("")), F.lit(held), F.lit("\ufffd")))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows(raw) of files, with line_index from 0 in the order of path and place.
+
+    Ids rise by one within each part of a file that a task reads. A first pass counts each part's rows, which are few enough to add up; lines are not shuffled, and stay in the JVM."""
+    rows = rows.select("raw", F.monotonically_increasing_id().alias("_id"), "_path", "_start")
+    parts = rows.groupBy("_path", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select("_path", "_start", (before - F.col("_first")).alias("_offset"))
+    return rows.join(offsets, ["_path", "_start"]).select((F.col("_id") + F.col("_offset")).alias("line_index"), "raw")
 
-    Numbering takes one pass that counts each partition's lines; lines themselves are not shuffled."""
-    text = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace(F.regexp_replace(F.expr("make_valid_utf8(value)"), "\ufffd", ""), r"\r+\z", "").alias("raw"))
-    numbered = text.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))  # the one exact, contiguous numbering that Spark has
-    return spark.createDataFrame(numbered, "line_index long, raw string")
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line_index (from 0, blank lines counted), raw: split at \\n alone, trailing \\r gone, bytes that are not UTF-8 dropped."""
+    return _numbered(_scan(spark, path).select(F.regexp_replace(_valid(F.col("value")), r"\r+\z", "").alias("raw"), "_path", "_start"))
 
 
 def lines_of(spark: SparkSession, lines: list[str]) -> DataFrame:
@@ -30,10 +48,9 @@ def lines_of(spark: SparkSession, lines: list[str]) -> DataFrame:
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a file that is read whole, split as text, not at \\n alone."""
-    parts = F.split(F.regexp_replace(F.expr("make_valid_utf8(value)"), "\ufffd", ""), LINE_ENDS)
-    cut = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return spark.read.text(path, wholetext=True).select(F.posexplode(cut)).select(F.col("pos").cast("long").alias("line_index"), F.col("col").alias("raw"))
+    """Lines of a file that is split as text is, not at \\n alone. Tasks read parts of it; a file that ends in another mark than \\n has an empty line more."""
+    text = F.regexp_replace(_valid(F.col("value")), r"\r\z", "")
+    return _numbered(_scan(spark, path).select(F.explode(F.split(text, LINE_ENDS)).alias("raw"), "_path", "_start"))
 
 
 def sample_lines(lines: DataFrame, most: int = 20_000) -> DataFrame:
@@ -136,8 +153,10 @@ def chunk_of(lines: DataFrame, size: int) -> DataFrame:
 
 
 def strided(lines: DataFrame, pool: int = 2000) -> DataFrame:
-    """At most pool lines that are not blank, evenly spaced, without repeats, in order."""
-    some = lines.where(F.trim("raw") != "")
+    """At most pool lines that are not blank, evenly spaced, without repeats, in order. Line numbers alone are ranked, in ranges; lines are read once chosen."""
+    some = lines.where(F.trim("raw") != "").select("line_index", "raw")
     step = max(1, some.count() // pool)
-    place = some.withColumn("i", F.row_number().over(Window.orderBy("line_index")) - 1) if step > 1 else some.withColumn("i", F.lit(0))
-    return place.where(F.col("i") % step == 0).groupBy("raw").agg(F.min("line_index").alias("line_index")).orderBy("line_index").limit(pool)
+    if step > 1:
+        place = ranked(some.select("line_index"), "line_index", [], "_place").where((F.col("_place") % step == 0) & (F.col("_place") < pool * step)).select("line_index")
+        some = some.join(F.broadcast(place), "line_index")  # at most pool numbers
+    return some.groupBy("raw").agg(F.min("line_index").alias("line_index")).orderBy("line_index").limit(pool)
