@@ -41,6 +41,14 @@ class Run:
     too_small: set[int] = field(default_factory=set)
     details: dict[int, dict] = field(default_factory=dict)
 
+    def open(self, skeleton: str, group: int) -> bool:
+        """Whether a parser may still absorb the group: it speaks for its skeleton and has no pattern."""
+        return group not in self.consolidated and self.canon[skeleton] == group and not (group in self.parsers and self.parsers[group].pattern)
+
+    def absorb(self, by: int, skeleton: str, group: int) -> None:
+        self.canon[skeleton] = by
+        self.consolidated.add(group)
+
     def counts(self) -> dict[str, int]:
         absorbed = self.consolidated - self.too_small
         return {
@@ -85,8 +93,6 @@ def induce_all(groups: Iterable[dict], least: int, induce: Callable[[dict], Pars
             continue
         for other in every:
             k = other["group_id"]
-            open_ = k != own and k not in run.consolidated and run.canon[other["skeleton"]] == k and not (k in run.parsers and run.parsers[k].pattern)
-            if open_ and other["sample"] and covers(parser, other):
-                run.canon[other["skeleton"]] = own
-                run.consolidated.add(k)
+            if k != own and run.open(other["skeleton"], k) and other["sample"] and covers(parser, other):
+                run.absorb(own, other["skeleton"], k)
     return run

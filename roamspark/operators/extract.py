@@ -109,8 +109,10 @@ def events_of_records(rows: DataFrame) -> DataFrame:
     return rows.select("line_index", "ts", "event")
 
 
-def lookup_stats(lines: DataFrame, table: DataFrame) -> DataFrame:
-    """hits, misses, patterns, total, hit_rate in percent (0 where there are no lines)."""
-    got = looked_up(lines.select("skeleton"), table.select("skeleton", F.lit(1).alias("hit")), "left").agg(F.count("hit").alias("hits"), F.count("*").alias("total"))
+def lookup_stats(lines: DataFrame, table: DataFrame, weight: str | None = None) -> DataFrame:
+    """hits, misses, patterns, total, hit_rate in percent (0 where there are no lines). weight: a column that says how many lines a row stands for."""
+    n = F.lit(1) if weight is None else F.col(weight)
+    number = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    got = looked_up(lines.select("skeleton", n.alias("_n")), table.select("skeleton", F.lit(1).alias("hit")), "left").agg(number(F.when(F.col("hit") == 1, F.col("_n"))).alias("hits"), number("_n").alias("total"))
     patterns = table.where("pattern is not null").agg(F.countDistinct("group_id").alias("patterns"))
     return got.crossJoin(patterns).select("hits", (F.col("total") - F.col("hits")).alias("misses"), "patterns", "total", F.when(F.col("total") > 0, 100.0 * F.col("hits") / F.col("total")).otherwise(0.0).alias("hit_rate"))

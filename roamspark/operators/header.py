@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import once
+from ..sources.lines import strided
+from .sampling import sample as pick
 
 MAX_OFFSET = 200
 TARGET = 0.90
@@ -225,33 +227,53 @@ CATALOGUE = [
 ]
 
 
-def infer(sample: DataFrame, propose: Callable[[list[str], HeaderRule | None, dict[str, int] | None], HeaderRule | None] | None = None, pick: Callable[[list[str]], list[str]] | None = None) -> HeaderRule:
-    """A rule that at least TARGET of the sample's lines split by, in at most ATTEMPTS proposals; an exception uses one up. Without propose, the best of the catalogue."""
+def shown_lines(sample: DataFrame, most: int = 10) -> list[str]:
+    """At most so many lines that differ as much as possible, of up to 2000 evenly spaced ones."""
+    lines = [r.raw for r in strided(sample).collect()]
+    try:
+        return pick(lines, most)
+    except ValueError:  # no words
+        return lines[:most]
+
+
+def judged(sample: DataFrame, rule: HeaderRule) -> dict[str, tuple[int, list[str]]]:
+    """Of each status the number of lines and the first examples."""
+    return {r.status: (r.n, list(r.examples)) for r in report(split_header(sample, rule)).collect()}
+
+
+def infer(sample: DataFrame, propose: Callable[[list[str], HeaderRule | None, dict[str, tuple[int, list[str]]] | None], HeaderRule | None] | None = None) -> HeaderRule:
+    """A rule that at least TARGET of the sample's lines split by, in at most ATTEMPTS proposals; an exception uses one up. A later proposal is given the rule before and how it was judged.
+    Without propose, the best of the catalogue, all of which one pass judges."""
     if propose is None:
-        best, rate = None, -1.0
-        for rule in CATALOGUE:
-            r = success_rate({x.status: x.n for x in split_header(sample, rule).groupBy("status").agg(F.count("*").alias("n")).collect()})
-            if r > rate:
-                best, rate = rule, r
-        if best is None or rate < TARGET:
-            raise ValueError(f"no known header fits: the best splits {rate:.1%}")
-        return best
-    lines = [r.raw for r in sample.orderBy("line_index").limit(2000).collect()]
-    shown = (pick or (lambda x: x[:10]))(list(dict.fromkeys(lines)))
-    rule, counts = None, None
+        return _of_catalogue(sample)
+    shown = shown_lines(sample)
+    rule, outcome = None, None
     for _ in range(ATTEMPTS):
         try:
-            rule = propose(shown, rule, counts) or rule
+            rule = propose(shown, rule, outcome) or rule
         except Exception:  # noqa: BLE001  a failed proposal uses an attempt up
             continue
         if rule is None:
             continue
-        counts = {x.status: x.n for x in split_header(sample, rule).groupBy("status").agg(F.count("*").alias("n")).collect()}
-        if success_rate(counts) >= TARGET:
+        outcome = judged(sample, rule)
+        if success_rate({k: n for k, (n, _) in outcome.items()}) >= TARGET:
             return rule
     raise ValueError(f"no header rule reached {TARGET:.0%}")
 
 
+def _of_catalogue(sample: DataFrame) -> HeaderRule:
+    """The first of the rules that split most lines."""
+    rows = sample.select("line_index", "raw")
+    for k, rule in enumerate(CATALOGUE):
+        rows = split_header(rows, rule).withColumn(f"ok{k}", F.col("status") == "success").drop("ts", "content", "status")
+    got = rows.agg(F.count("*").alias("n"), *[F.count_if(f"ok{k}").alias(f"ok{k}") for k in range(len(CATALOGUE))]).first()
+    best = max(range(len(CATALOGUE)), key=lambda k: got[f"ok{k}"])
+    rate = got[f"ok{best}"] / got.n if got.n else 0.0
+    if rate < TARGET:
+        raise ValueError(f"no known header fits: the best splits {rate:.1%}")
+    return CATALOGUE[best]
+
+
 def json_in(text: str) -> dict | None:
     """The text as JSON, else from its first brace to its last."""
     for candidate in (text, text[text.find("{") : text.rfind("}") + 1] if "{" in text else ""):
@@ -269,6 +291,19 @@ class DateRule:
     regex: str
     format: str
 
+    @classmethod
+    def build(cls, lines: list[str], ask: Callable[[list[dict]], str]) -> DateRule:
+        """From a model's reply to the first 10 of the first 50 lines that are not blank; ValueError where it has no rule, or one that no line fits."""
+        some = [x for x in lines if x.strip()][:50]
+        task = "Write a Python regular expression with the named group ts for the timestamp of these log lines, and its strptime format. Answer with JSON alone: regex, format."
+        held = json_in(ask([{"role": "system", "content": task}, {"role": "user", "content": "\n".join(some[:10])}]))
+        if not isinstance(held, dict) or not all(isinstance(held.get(k), str) and held[k] for k in ("regex", "format")) or "ts" not in re.compile(held["regex"]).groupindex:
+            raise ValueError("the reply holds no rule")
+        rule = cls(held["regex"], held["format"])
+        if not rule.usable(some):
+            raise ValueError("no line fits the rule")
+        return rule
+
     def parse(self, line: str) -> datetime | None:
         m = re.search(self.regex, line)
         try:

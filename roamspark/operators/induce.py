@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
+from ..sources.chat import Reply, clients
+from ..sources.lines import Settings
 from .consolidate import Run, induce_all
+from .header import HeaderRule, json_in
 from .sampling import repair_sample, sample
 from .templates import Parser, anchored, compile_template, regex_reply, template_reply, translate
 
@@ -99,36 +104,67 @@ class Recorded:
 
 @dataclass
 class Chat:
-    """Any chat model behind one function of messages; called on the driver alone. reserve may refuse a call by raising, commit is told what it used."""
+    """Any chat model behind one function of messages, which returns a text or a Reply; called on the driver alone. reserve may refuse a call by raising; a reservation is committed with
+    the tokens that the call used, or released if the call fails."""
 
-    ask: Callable[[list[dict]], str]
+    ask: Callable[[list[dict]], str | Reply]
     style: str = "template"
-    fallbacks: tuple[Callable[[list[dict]], str], ...] = ()
+    fallbacks: tuple[Callable[[list[dict]], str | Reply], ...] = ()
     reserve: Callable[[list[dict]], object] = lambda messages: None
-    commit: Callable[[object], None] = lambda reservation: None
+    commit: Callable[[object, int], None] = lambda reservation, tokens: None
+    release: Callable[[object], None] = lambda reservation: None
     usage: Usage = field(default_factory=Usage)
 
-    def _call(self, ask: Callable[[list[dict]], str], messages: list[dict], model: str) -> str:
-        import time
+    @classmethod
+    def of(cls, settings: Settings, api_key: str, style: str = "template", **hooks) -> Chat:
+        """The models that the settings name, over HTTP."""
+        first, others = clients(settings, api_key)
+        return cls(first, style, tuple(others), **hooks)
 
+    def _call(self, ask: Callable[[list[dict]], str | Reply], messages: list[dict], model: str) -> str:
         held, began = self.reserve(messages), time.time()
-        reply = ask(messages)
-        self.commit(held)
-        self.usage.add(model, message_tokens([*messages, {"role": "assistant", "content": reply}]), time.time() - began)
-        return reply
+        try:
+            reply = ask(messages)
+        except BaseException:
+            self.release(held)
+            raise
+        reply = Reply(reply) if isinstance(reply, str) else reply
+        tokens = reply.tokens or message_tokens([*messages, {"role": "assistant", "content": reply.content}])
+        self.commit(held, tokens)
+        self.usage.add(model, tokens, time.time() - began)
+        return reply.content
 
     def parser(self, lines: list[str], examples: list[tuple[str, str, int]]) -> tuple[str | None, int]:
-        reply = self._call(self.ask, prompt(lines, examples, self.style), "primary")
+        reply = self._call(self.ask, prompt(lines, examples, self.style), getattr(self.ask, "model", "primary"))
         return template_reply(reply) if self.style == "template" else regex_reply(reply)
 
     def repair(self, lines: list[str], regex: str, failed: str, info: str) -> list[str]:
         out = []
         for k, ask in enumerate(self.fallbacks[:3]):
             messages = [{"role": "user", "content": f"This pattern fails: {regex}\nLine: {failed}\n{info}\nAll lines:\n" + "\n".join(lines) + "\nAnswer with JSON: regex, connect_flag."}]
-            found, _ = regex_reply(self._call(ask, messages, f"fallback{k}"))
+            found, _ = regex_reply(self._call(ask, messages, getattr(ask, "model", f"fallback{k}")))
             out += [found] if found else []
         return out
 
+    def header(self, lines: list[str], rule: HeaderRule | None, judged: dict[str, tuple[int, list[str]]] | None) -> HeaderRule:
+        """A header rule for lines, or a better one than rule, given what it made of them; ValueError where the reply is none."""
+        reply = json_in(self._call(self.ask, header_prompt(lines, rule, judged), getattr(self.ask, "model", "primary")))
+        if not isinstance(reply, dict):
+            raise ValueError("the reply is not JSON")
+        return HeaderRule.from_reply(reply)
+
+
+def header_prompt(lines: list[str], rule: HeaderRule | None, judged: dict[str, tuple[int, list[str]]] | None) -> list[dict]:
+    """Messages that ask for a header rule; with a rule that fell short, also what became of the lines and examples of each outcome."""
+    task = "Each log line below starts with a date and a time, perhaps after other fields. Write one Python regular expression with the named groups date and time, which hold the bare values and no marks around them, and strptime formats for both. Answer with JSON alone: regex, date_format, time_format, has_year."
+    shown = "\n".join(f"{k}. {x}" for k, x in enumerate(lines, 1))
+    if rule is None:
+        return [{"role": "system", "content": task}, {"role": "user", "content": shown}]
+    total = sum(n for n, _ in (judged or {}).values())
+    outcome = "\n\n".join(f"{status}: {n} of {total}\n" + "\n".join(f"  {x}" for x in examples) for status, (n, examples) in sorted((judged or {}).items()))
+    held = json.dumps({"regex": rule.regex, "date_format": rule.date_format, "time_format": rule.time_format, "has_year": rule.has_year})
+    return [{"role": "system", "content": f"{task} The rule given does not fit enough lines; mend it."}, {"role": "user", "content": f"Rule: {held}\n\nOutcomes, with examples:\n{outcome}\n\nLines:\n{shown}"}]
+
 
 def message_tokens(messages: list[dict]) -> int:
     """4 for each message, and about one for each four characters."""
@@ -180,9 +216,9 @@ def locate(pattern: str, line: str) -> str:
     return f"pattern fails at: {pattern[good:]} | line there: {line[reached : reached + 50]}"
 
 
-def induce_template(group: dict, inducer: Inducer, examples: list[tuple[str, str, int]]) -> Parser | None:
+def induce_template(group: dict, inducer: Inducer, examples: list[tuple[str, str, int]], shown: int = SHOWN) -> Parser | None:
     """Ask, once more where no template came; compile, validate on the whole sample, repair where the label matters. A label whose pattern stays broken counts without one."""
-    lines = sample(group["sample"], SHOWN)
+    lines = sample(group["sample"], shown)
     template, flag = inducer.parser(lines, examples[-EXAMPLES:])
     if not template:
         template, flag = inducer.parser(lines, examples[-EXAMPLES:])
@@ -197,9 +233,9 @@ def induce_template(group: dict, inducer: Inducer, examples: list[tuple[str, str
     return _repaired(group, inducer, pattern.removeprefix("(?d)").replace(r"\z", r"\Z"), flag, failed, info, lines[0], False)
 
 
-def induce_regex(group: dict, inducer: Inducer, examples: list[tuple[str, str, int]]) -> Parser | None:
+def induce_regex(group: dict, inducer: Inducer, examples: list[tuple[str, str, int]], shown: int = SHOWN) -> Parser | None:
     """The baseline: a raw regex that matches from the start of the line."""
-    lines = sample(group["sample"], SHOWN)
+    lines = sample(group["sample"], shown)
     regex, flag = inducer.parser(lines, examples[:EXAMPLES])
     if not regex:
         return Parser(None, (), flag, lines[0])
@@ -234,7 +270,8 @@ def covers(parser: Parser, group: dict) -> bool:
     return all(compiled.fullmatch(x) for x in [group["representative"], *group["sample"]])
 
 
-def induce_groups(groups: list[dict], inducer: Inducer, least: int = 1, style: str = "template", consolidate: bool = True, run: Run | None = None) -> Run:
-    examples: list[tuple[str, str, int]] = []
+def induce_groups(groups: list[dict], inducer: Inducer, least: int = 1, style: str = "template", consolidate: bool = True, run: Run | None = None, examples: list[tuple[str, str, int]] | None = None, shown: int = SHOWN) -> Run:
+    """examples: what was induced before, to which this adds; shown: lines of a group that the inducer is given."""
+    examples = [] if examples is None else examples
     one = induce_template if style == "template" else induce_regex
-    return induce_all(groups, least, lambda g: one(g, inducer, examples), covers if consolidate else lambda p, g: False, run)
+    return induce_all(groups, least, lambda g: one(g, inducer, examples, shown), covers if consolidate else lambda p, g: False, run)

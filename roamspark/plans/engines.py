@@ -6,16 +6,20 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extract, groups, header, induce
+from ..operators import consolidate, extract, groups, header, induce
 from ..operators.consolidate import Run
-from ..session import local_table
+from ..session import local_table, staged
 from ..sources import lines as sources
 from ..sources.sinks import Progress, batches
 
 
+#: Groups whose samples are on the driver at a time.
+AT_ONCE = 500
+
+
 @dataclass
 class Result:
     records: DataFrame
@@ -68,34 +72,77 @@ class Engine:
         return sources.read_lines(self.spark, path)
 
     def process(self, lines: DataFrame, progress: Callable[[dict], None] | None = None) -> Result:
-        began, tell = time.time(), Progress(progress)
-        lines = lines.persist()  # read by the sample, the scan and the extraction
-        total = lines.count()
-        first = sources.sample_lines(lines)
+        """One pass over lines parses them into the shared folder, where groups, samples and records are read from."""
+        began, tell = time.time(), Progress(progress, chunk=self.settings.chunk_size)
+        first = staged(sources.sample_lines(lines), "first")
         if not first.limit(1).count():
-            return self._empty(lines, total)
-        self.rule = self.rule or header.infer(first, self.propose_header)
-        keys = groups.json_keys(groups.kept(header.split_header(lines, self.rule)).select("line_index", "content"), self.json_sample)
-        parsed = groups.parsed_lines(lines, self.rule, keys).persist()  # the skeleton is costly, and read three times
-        tell("scan", 1.0)
-        found = groups.micro_groups(parsed) if self.known is None else groups.merge_groups(self.known, groups.micro_groups(parsed))
-        rows = found.select("skeleton", "n", "first_idx", "representative", "group_id").collect()  # one row a structure
-        self.known = local_table(self.spark, [tuple(r) for r in rows], "skeleton string, n long, first_idx long, representative string, group_id int")
-        held = [r.asDict() for r in rows]
-        sample: dict[str, list[str]] = {}
-        for r in groups.group_sample(parsed, seed=self.settings.seed).orderBy("skeleton", "line_index").select("skeleton", "content").collect():
-            sample.setdefault(r.skeleton, []).append(r.content)
-        for g in held:
-            g["sample"] = sample.get(g["skeleton"], [])
-        self.run = induce.induce_groups([g for g in held if g["sample"]], self.inducer, self.settings.min_cluster_size, self.style, self.consolidate, self.run)
+            return self._empty(lines, lines.count())
+        self.rule = self.rule or header.infer(first, self.propose_header or getattr(self.inducer, "header", None))
+        tell("scan", 0.1)
+        source = lines if self.json_sample is None else first  # the first kept lines are among the first lines, as the rule splits most of those
+        keys = groups.json_keys(groups.kept(header.split_header(source, self.rule)).select("line_index", "content"), self.json_sample)
+        seen, kept = Observation(), Observation()
+        parsed = groups.parsed_lines(lines.observe(seen, F.count(F.lit(1)).alias("n")), self.rule, keys)
+        with tell.watching(self.spark, "scan"):
+            parsed = staged(parsed.observe(kept, F.count(F.lit(1)).alias("n")), "parsed")
+        total, n_kept = seen.get["n"], kept.get["n"]
+        tell("scan", 1.0, lines_processed=total)
+        own = staged(groups.micro_groups(parsed), "groups")
+        found = own if self.known is None else staged(groups.merge_groups(self.known, own), "groups")
+        self.known = found
+        n_groups = found.count()
+        self.run = self._induced(parsed, found, lambda done: tell("induce", done))
         tell("induce", 1.0)
         table = extract.parser_table(self.spark, self.run.canon, self.run.parsers)
-        rows, events = extract.records(parsed, table), extract.line_events(parsed, table)
-        tell("extract", 1.0)
-        kept = parsed.count()
+        count = Observation()
+        with tell.watching(self.spark, "extract", total):
+            rows = staged(extract.records(parsed, table).observe(count, F.count(F.lit(1)).alias("n")), "records")
+        tell("extract", 1.0, lines_processed=total, records_found=count.get["n"])
         usage = getattr(self.inducer, "usage", induce.Usage())
-        stats = {"lines": total, "lines_kept": kept, "groups": len(held), "records": rows.count(), **self.run.counts(), "llm_calls": usage.calls, "llm_tokens": usage.tokens, "llm_time": usage.seconds, **extract.lookup_stats(parsed, table).first().asDict(), "runtime_sec": time.time() - began}
-        return Result(rows, events, self.run.details, stats, table)
+        stats = {"lines": total, "lines_kept": n_kept, "groups": n_groups, "records": count.get["n"], **self.run.counts(), "llm_calls": usage.calls, "llm_tokens": usage.tokens, "llm_time": usage.seconds, **extract.lookup_stats(own, table, "n").first().asDict(), "runtime_sec": time.time() - began}
+        return Result(rows, extract.line_events(parsed, table), self.run.details, stats, table)
+
+    def _induced(self, parsed: DataFrame, found: DataFrame, tell: Callable[[float], None]) -> Run:
+        """Parsers are induced on the driver, AT_ONCE groups at a time, the largest first; after each round one coverage join over the other groups finds those that the new parsers absorb.
+
+        Of a group that is absorbed or too small no line reaches the driver; of the others at most a bounded sample."""
+        samples = staged(groups.group_sample(parsed, seed=self.settings.seed).select("skeleton", "line_index", "content"), "samples")
+        run, least = self.run, self.settings.min_cluster_size
+        tried: set[int] = set()
+        names = found.join(samples.select("skeleton").distinct(), "skeleton")  # of this scan
+        todo, of = [], {}
+        for r in names.orderBy(F.desc("n"), "first_idx").select("skeleton", "group_id", "n").collect():  # a short row for each structure
+            of[r.skeleton] = r.group_id
+            run.canon.setdefault(r.skeleton, r.group_id)
+            if r.n < least:
+                run.too_small.add(r.group_id)
+            else:
+                run.too_small.discard(r.group_id)
+                todo.append((r.skeleton, r.group_id))
+        examples: list = []
+        while True:
+            open_ = [s for s, g in todo if run.canon[s] == g and g not in tried]
+            tell(1 - len(open_) / max(len(todo), 1))
+            if not open_:
+                return run
+            now = open_[:AT_ONCE]
+            chosen = local_table(self.spark, [(s,) for s in now], "skeleton string")
+            rows = [r.asDict() for r in names.join(F.broadcast(chosen), "skeleton").select("skeleton", "n", "first_idx", "representative", "group_id").collect()]
+            lines: dict[str, list[str]] = {}
+            for r in samples.join(F.broadcast(chosen), "skeleton").orderBy("skeleton", "line_index").select("skeleton", "content").collect():
+                lines.setdefault(r.skeleton, []).append(r.content)
+            before = set(run.parsers)
+            induce.induce_groups([{**g, "sample": lines[g["skeleton"]]} for g in rows], self.inducer, least, self.style, self.consolidate, run, examples, self.settings.batch_size)
+            tried.update(g["group_id"] for g in rows)
+            made = list(run.parsers)  # in the order of their making
+            new = [(place, run.parsers[k].pattern) for place, k in enumerate(made) if k not in before and run.parsers[k].pattern]
+            others = [s for s, g in of.items() if s not in lines and run.open(s, g)]
+            if new and others and self.consolidate:
+                held = local_table(self.spark, new, "parser_id long, pattern string")
+                rest = local_table(self.spark, [(s,) for s in others], "skeleton string")
+                met = consolidate.coverage(samples.join(rest, "skeleton"), names.join(rest, "skeleton"), held).groupBy("skeleton").agg(F.min("parser_id").alias("first")).collect()
+                for r in met:
+                    run.absorb(made[r["first"]], r.skeleton, of[r.skeleton])
 
     def _empty(self, lines: DataFrame, total: int) -> Result:
         table = extract.parser_table(self.spark, {}, {})

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import local_table
 
@@ -77,13 +79,39 @@ def chunk_label(n: int, size: int) -> tuple[int, int]:
 
 
 class Progress:
-    """Calls back at most once a second, never going back."""
+    """Calls back at most once a second, never going back. Where lines are counted, the call says which chunk of them the last one is in."""
 
-    def __init__(self, callback: Callable[[dict], None] | None, clock: Callable[[], float] = time.monotonic):
-        self.callback, self.clock, self.last, self.most = callback, clock, -1e9, 0.0
+    def __init__(self, callback: Callable[[dict], None] | None, clock: Callable[[], float] = time.monotonic, chunk: int = 50_000):
+        self.callback, self.clock, self.last, self.most, self.chunk = callback, clock, -1e9, 0.0, max(1, chunk)
 
     def __call__(self, stage: str, done: float, **more) -> None:
         self.most = max(self.most, weighted_fraction(stage, done))
         if self.callback and (self.clock() - self.last >= 1.0 or done >= 1.0):
             self.last = self.clock()
+            if more.get("lines_processed"):
+                index, fill = chunk_label(more["lines_processed"], self.chunk)
+                more |= {"chunk_index": index, "chunk_fill": fill, "chunk_size": self.chunk, "phase": f"{stage} (chunk {index + 1} {fill}/{self.chunk})"}
             self.callback({"stage": stage, "file_fraction": self.most, **more})
+
+    @contextmanager
+    def watching(self, spark: SparkSession, stage: str, lines: int = 0, every: float = 1.0) -> Iterator[None]:
+        """While the body runs a job, calls back with the share of its tasks that are done, and of lines, if their number is known."""
+        if not self.callback:
+            yield
+            return
+        over, tracker = threading.Event(), spark.sparkContext.statusTracker()
+
+        def look() -> None:
+            while not over.wait(every):
+                found = [i for s in tracker.getActiveStageIds() if (i := tracker.getStageInfo(s))]
+                if total := sum(i.numTasks for i in found):
+                    done = sum(i.numCompletedTasks for i in found) / total
+                    self(stage, min(done, 0.99), **({"lines_processed": int(done * lines)} if lines else {}))
+
+        watcher = threading.Thread(target=look, daemon=True)
+        watcher.start()
+        try:
+            yield
+        finally:
+            over.set()
+            watcher.join()

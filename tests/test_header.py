@@ -46,7 +46,7 @@ def test_infer(spark):
             raise RuntimeError("lost")
         return header.HeaderRule(r"(?P<date>\d{9})(?P<time>\d)", "%Y", "%H") if len(calls) == 2 else RULE
 
-    assert header.infer(df, propose) is RULE and calls == [None, None, {"no_match": 10}]
+    assert header.infer(df, propose) is RULE and calls == [None, None, {"no_match": (10, ["2024-01-02 03:04:05 up"] * 5)}]
 
 
 def test_rule_replies():

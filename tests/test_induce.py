@@ -4,10 +4,11 @@ import random
 import numpy as np
 import pytest
 
-from roamspark.operators import evaluate, induce, sampling
+from roamspark.operators import evaluate, header, induce, sampling
 from roamspark.operators.consolidate import induce_all
 from roamspark.operators.templates import Parser, anchored, compile_template, flag_of, regex_reply, template_reply, translate
 from roamspark.plans import engines
+from roamspark.sources import lines as sources
 from roamspark.sources import sinks
 
 LOGS = [f"2024-01-01 00:00:{i:02d} stm[1]: Assoc success: STA 02:00:00:00:00:{i:02x} AP AP-B{i % 3}-F1 ssid=x" for i in range(20)] + [f"2024-01-01 00:01:{i:02d} dhcpd: DHCPACK on 10.0.0.{i}" for i in range(5)] + ["", "no header"]
@@ -103,10 +104,89 @@ def test_engine(spark, tmp_path):
     assert engines.list_supported_engines() == ["log_extractor", "wifi_log_parser"]
 
 
+class Server:
+    """A chat server that gives its answers in turn: a status, or a text."""
+
+    def __init__(self, *answers):
+        import http.server
+        import threading
+
+        self.seen, left = [], list(answers)
+        outer = self
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_POST(self):
+                body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                outer.seen.append((self.path, self.headers["Authorization"], body))
+                answer = left.pop(0)
+                text = "" if isinstance(answer, int) else json.dumps({"choices": [{"message": {"content": answer}}], "usage": {"total_tokens": 17}})
+                self.send_response(answer if isinstance(answer, int) else 200)
+                self.send_header("Content-Length", str(len(text)))
+                self.end_headers()
+                self.wfile.write(text.encode())
+
+            def log_message(self, *args):
+                pass
+
+        self.http = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.http.serve_forever, daemon=True).start()
+        self.url = f"http://127.0.0.1:{self.http.server_port}/v1"
+
+
 def test_chat_and_hooks():
     told = []
-    chat = induce.Chat(lambda m: json.dumps({"template": "{{client_mac}}|", "connect_flag": 1}), reserve=lambda m: "r", commit=told.append)
-    assert chat.parser(["x|"], []) == ("{{client_mac}}|", 1) and told == ["r"] and chat.usage.calls == 1
+    chat = induce.Chat(lambda m: json.dumps({"template": "{{client_mac}}|", "connect_flag": 1}), reserve=lambda m: "r", commit=lambda held, n: told.append((held, n > 0)), release=lambda held: told.append("released"))
+    assert chat.parser(["x|"], []) == ("{{client_mac}}|", 1) and told == [("r", True)] and chat.usage.calls == 1
+    chat.ask = lambda m: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        chat.parser(["x|"], [])
+    assert told[1:] == ["released"] and chat.usage.calls == 1
+
+
+def test_chat_client(spark):
+    from roamspark.sources import chat as remote
+
+    rule = {"regex": r"(?P<date>\d{4}-\d\d-\d\d) (?P<time>\d\d:\d\d:\d\d)", "date_format": "%Y-%m-%d", "time_format": "%H:%M:%S", "has_year": True}
+    server = Server(503, json.dumps({**rule, "regex": r"(?P<date>\d{9})(?P<time>\d)"}), "no json", "so: " + json.dumps(rule), json.dumps({"template": "stm {{client_mac}}|", "connect_flag": 1}), 400)
+    settings = sources.Settings(primary_model="m", fallback_models=("f",), base_url=server.url, max_retries=1)
+    paused = []
+    first, others = remote.clients(settings, "key")
+    assert [c.model for c in others] == ["f"] and not remote.clients(sources.Settings(primary_model="m", fallback_models=("f",), base_url=server.url, disable_fallback=True), "key")[1]
+    first.pause = paused.append
+    chat = induce.Chat(first)
+    lines = sources.lines_of(spark, [f"2024-01-02 03:04:0{k} up {k}" for k in range(9)] + ["junk"])
+    assert header.infer(lines, chat.header).regex == rule["regex"] and paused == [0.5] and chat.usage.calls == 3 and chat.usage.tokens == 51 and chat.usage.by_model == {"m": 3}
+    path, key, body = server.seen[-1]
+    assert path == "/v1/chat/completions" and key == "Bearer key" and body["model"] == "m" and "no_match: 10 of 10" in body["messages"][1]["content"]
+    assert chat.parser(["stm x|"], []) == ("stm {{client_mac}}|", 1)
+    with pytest.raises(OSError):
+        chat.parser(["x|"], [])
+    with pytest.raises(ValueError):
+        remote.Client(server.url, "", "m")
+    dated = header.DateRule.build(["2024 a", "b"], lambda m: json.dumps({"regex": r"(?P<ts>\d{4})", "format": "%Y"}))
+    assert dated.parse("in 2024").year == 2024
+    with pytest.raises(ValueError):
+        header.DateRule.build(["a"], lambda m: "{}")
+
+
+def test_rounds_of_induction(spark, monkeypatch):
+    """A few groups at a time give what all at once give."""
+    logs = [f"2024-01-01 00:00:{k % 60:02d} {kind * n} {'x' * (n % 3)} AP a{k} STA 02:00:00:00:00:{k % 100:02d}" for n, kind in enumerate(["assoc ", "left ", "probe ", "join "] * 3, 1) for k in range(n)]
+    want = None
+    for at_once in (500, 2):
+        monkeypatch.setattr(engines, "AT_ONCE", at_once)
+        e = engines.get_engine()(spark, settings=sources.Settings(min_cluster_size=2))
+        got = e.process_logs(logs)
+        now = (sorted(map(str, got.records.collect())), sorted(e.run.canon.items()), e.run.counts())
+        assert want is None or now == want
+        want = now
+
+
+def test_progress_of_a_job(spark):
+    seen = []
+    with sinks.Progress(seen.append, chunk=10).watching(spark, "scan", 1000, 0.2):
+        spark.sparkContext.parallelize(range(16), 16).foreach(lambda x: __import__("time").sleep(0.4))
+    assert seen and all(0 <= x["file_fraction"] <= 0.3 for x in seen)
 
 
 def test_cli(spark, tmp_path):
