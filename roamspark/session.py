@@ -75,8 +75,15 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, fields)], schema=fields))
 
 
+#: Rows and bytes of the batches that Python workers are sent, where the session has Spark's defaults: those hold 64 MB, several times in each of an executor's processes.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the Python workers once for each Spark application; on a cluster they have no copy of it."""
+    """Gives this package to the Python workers once for each Spark application; on a cluster they have no copy of it. Batches are made small unless the session has set their size."""
+    for name, (default, ours) in BATCHES.items():
+        if spark.conf.get(name, None) == default:
+            spark.conf.set(name, ours)
     context = spark.sparkContext
     if getattr(context, "_roamspark_shipped", False):
         return
