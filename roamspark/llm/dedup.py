@@ -42,6 +42,8 @@ SPAN = LENGTH - K + 1  # K-grams of a window
 HOT = 4096
 #: Windows that are sorted at once, about 300 bytes of memory each.
 BLOCK = 150_000
+#: Bytes that are cut at once, about 100 bytes of memory each.
+PIECE = 1 << 19
 #: Contexts that a task gathers before it sends them on.
 HELD = 2_000_000
 U64 = np.uint64
@@ -54,12 +56,12 @@ SPLIT = 255  # n of a context that only says that its anchor is split
 
 
 def contexts_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each context: row, start in the row, anchor's offset, windows less one, anchor hash, context hash. Texts are taken in pieces of about kit.CHUNK bytes."""
+    """Of each context: row, start in the row, anchor's offset, windows less one, anchor hash, context hash. Texts are taken in pieces of about PIECE bytes."""
     out: list[tuple] = []
-    for i, j in kit.chunks(offs):
+    for i, j in kit.chunks(offs, PIECE):
         low, high = int(offs[i]), int(offs[j])
-        for begin in range(low, max(high - LENGTH, low) + 1, kit.CHUNK):
-            end = min(high, begin + kit.CHUNK + LENGTH - 1)
+        for begin in range(low, max(high - LENGTH, low) + 1, PIECE):
+            end = min(high, begin + PIECE + LENGTH - 1)
             if end - begin >= LENGTH:
                 out.append(_piece(data[begin:end], begin, offs[i : j + 1], i))
     if not out:

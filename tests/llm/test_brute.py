@@ -84,7 +84,7 @@ def test_pieces_of_long_texts(monkeypatch):
     data = np.frombuffer(("abc" * 50 + "def" * 70 + "x1y2z3" * 90).encode() * 3, np.uint8)
     offs = np.array([0, len(data)])
     whole = dedup.contexts_of(data, offs)
-    monkeypatch.setattr(kit, "CHUNK", 400)
+    monkeypatch.setattr(dedup, "PIECE", 400)
     cut = dedup.contexts_of(data, offs)
     spread = lambda c: sorted((int(at) + k, int(at) + int(a) - 0, int(h)) for at, a, n, h in zip(c[1], c[2], c[3], c[4]) for k in range(int(n) + 1))
     assert [x[0] for x in spread(whole)] == [x[0] for x in spread(cut)] == list(range(len(data) - 99))
