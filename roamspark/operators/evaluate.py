@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import defaultdict, deque
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,18 +75,24 @@ def _fits(p: str, t: str) -> bool:
 
 
 def matched(truth: list[tuple], pred: list[tuple]) -> int:
-    """Greedy one-to-one matches of tuples whose parts all fit: truth longest first, each takes the free prediction with most equal parts, the first of equals."""
-    free, n = list(pred), 0
+    """Greedy one-to-one matches of tuples whose parts all fit: truth longest first, each takes the free prediction with most equal parts, the first of equals. Equal tuples are looked up;
+    only a truth without one is compared with all that are free."""
+    free = dict.fromkeys(range(len(pred)))
+    equal: dict[tuple, deque] = defaultdict(deque)
+    for k, p in enumerate(pred):
+        equal[p].append(k)
     for t in sorted(truth, key=lambda x: -sum(map(len, x))):
-        fits = [(-sum(a == b for a, b in zip(p, t)), k) for k, p in enumerate(free) if all(map(_fits, p, t))]
+        same = equal.get(t, ())
+        while same and same[0] not in free:
+            same.popleft()
+        fits = [(0, same[0])] if same else [(-sum(a == b for a, b in zip(pred[k], t)), k) for k in free if all(map(_fits, pred[k], t))]
         if fits:
-            free.pop(min(fits)[1])
-            n += 1
-    return n
+            del free[min(fits)[1]]
+    return len(pred) - len(free)
 
 
 def by_record(events: DataFrame, rows: DataFrame, truth: DataFrame, client: bool = True, extracted_only: bool = False) -> DataFrame:
-    """Scores by second and event. Keys are small groups (one second), matched where they are cogrouped."""
+    """Scores by second and event."""
     gt = truth_by_record(truth)
     ev = event_counts(events, gt).agg(F.sum(F.least("g", "p")).alias("tp"), F.sum(F.greatest(F.col("p") - F.col("g"), F.lit(0))).alias("fp"), F.sum(F.greatest(F.col("g") - F.col("p"), F.lit(0))).alias("fn"), F.sum("g").alias("n_truth"), F.sum("p").alias("n_pred"))
     pred = rows.select(normalise_time(F.col("ts")).alias("ts"), "event", normalise_id(F.col("ap_id")).alias("ap"), normalise_id(F.col("client_id")).alias("client"), F.col("line_index").cast("double").alias("at")).where("ts <> ''")
@@ -96,21 +103,24 @@ def by_record(events: DataFrame, rows: DataFrame, truth: DataFrame, client: bool
 
 
 def field_counts(gt: DataFrame, pred: DataFrame) -> DataFrame:
-    """Of each (ts, event): matched and total ap, client and pair values."""
-    import pandas as pd
-
-    def run(key, g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        g, p = g.sort_values("at", kind="stable"), p.sort_values("at", kind="stable")
-        out = {}
-        for name in ("ap", "client"):
-            a, b = [(v,) for v in g[name] if v], [(v,) for v in p[name] if v]
-            out |= {f"{name}_ok": matched(a, b), f"{name}_all": len(a), f"{name}_min": min(len(a), len(b))}
-        pairs = lambda d: [(x, y) for x, y in zip(d["ap"], d["client"]) if x and y]
-        out["pair_ok"] = matched(pairs(g), pairs(p))
-        return pd.DataFrame([{"ts": key[0], "event": key[1], **out}])[["ts", "event", "ap_ok", "client_ok", "pair_ok", "ap_all", "client_all", "ap_min", "client_min"]]
-
-    schema = "ts string, event string, ap_ok long, client_ok long, pair_ok long, ap_all long, client_all long, ap_min long, client_min long"
-    return gt.groupBy("ts", "event").cogroup(pred.groupBy("ts", "event")).applyInPandas(run, schema)
+    """Of each (ts, event): matched and total ap, client and pair values. Values of a key, those of one second, are gathered into a row; Python takes many rows at a time."""
+    import pyarrow as pa
+
+    names = ["ap_ok", "client_ok", "pair_ok", "ap_all", "client_all", "ap_min", "client_min"]
+    side = lambda df, name: df.groupBy("ts", "event").agg(F.sort_array(F.collect_list(F.struct("at", "ap", "client"))).alias(name))
+
+    def counted(g: list[dict], p: list[dict]) -> list[int]:
+        of = lambda rows, *parts: [v for v in (tuple(r[x] for x in parts) for r in rows) if all(v)]
+        sides = [(of(g, *parts), of(p, *parts)) for parts in (("ap",), ("client",), ("ap", "client"))]
+        return [*(matched(a, b) for a, b in sides), *(len(a) for a, _ in sides[:2]), *(min(len(a), len(b)) for a, b in sides[:2])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [counted(g or [], p or []) for g, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))]], names=["ts", "event", *names])
+
+    both = side(gt, "g").join(side(pred, "p"), ["ts", "event"], "full").select("ts", "event", "g", "p")
+    return both.mapInArrow(run, "ts string, event string, " + ", ".join(f"{n} long" for n in names))
 
 
 def evaluate(events: DataFrame, rows: DataFrame, truth: DataFrame, n_lines: int, matching: str = "line_index", client: bool = True, extracted_only: bool = False, note: Callable[[str], None] = print) -> DataFrame:

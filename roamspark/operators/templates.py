@@ -48,7 +48,7 @@ def anchored(regex: str) -> str:
 def translate(regex: str, whole: bool = False) -> tuple[str, tuple[str, ...]] | None:
     """A Python pattern as Java's, with the names of its captures by position; None where it cannot be translated. whole: the pattern matches a prefix (Python's match), so the rest of the line is let through."""
     try:
-        re.compile(re.sub(r"\(\?P<(\w+)>", "(", regex))
+        re.compile(re.sub(r"\(\?P=\w+\)", "", re.sub(r"\(\?P<(\w+)>", "(", regex)))  # names may repeat
     except re.error:
         return None
     names: list[str] = []

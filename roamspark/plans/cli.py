@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import SparkSession
 
@@ -15,22 +16,22 @@ from .engines import get_engine
 
 def run(spark: SparkSession, config: str, out: str, only: list[str] | None = None, engine: str | None = None, run_id: str | None = None) -> list[dict]:
     ship(spark)
-    plan = sources.Experiment.load(config, only)
+    plan = sources.Experiment.of(json.loads(spark.read.text(config, wholetext=True).first()[0]), only)
     summary = []
     for d in plan.datasets:
         folder = run_folder(out, d.name, run_id)
         got = get_engine(engine)(spark, settings=plan.settings).process_file(d.log_path)
         write_records(got.payload(), f"{folder}/records.jsonl")
-        write_json(got.stats, f"{folder}/stats.json")
+        write_json(spark, got.stats, f"{folder}/stats.json")
         row = {"dataset": d.name, **{k: got.stats.get(k) for k in ("lines", "groups", "records", "processed", "consolidated", "skipped", "llm_calls", "runtime_sec")}}
         if d.gt_path:
             truth = sources.read_ground_truth(spark, d.gt_path)
             row |= evaluate(got.events, got.records, truth, got.stats["lines"], d.matching, not d.exclude_client_in_fea, d.field_metrics_on_extracted_only).first().asDict()
-            write_json(row, f"{folder}/metrics.json")
+            write_json(spark, row, f"{folder}/metrics.json")
         summary.append(row)
     root = run_folder(out, "", run_id).rstrip("/")
     write_summary(spark, summary, f"{root}/summary_main.csv")
-    write_json({"config": config, "results": summary}, f"{root}/summary_main.json")
+    write_json(spark, {"config": config, "results": summary}, f"{root}/summary_main.json")
     return summary
 
 

@@ -137,8 +137,12 @@ class Experiment:
 
     @classmethod
     def load(cls, path: str, only: list[str] | None = None) -> Experiment:
-        """From a JSON file; only: names of the datasets to keep (an unknown name is an error)."""
-        held = json.loads(Path(path).read_text(encoding="utf-8"))
+        """From a JSON file of the driver."""
+        return cls.of(json.loads(Path(path).read_text(encoding="utf-8")), only)
+
+    @classmethod
+    def of(cls, held: dict, only: list[str] | None = None) -> Experiment:
+        """only: names of the datasets to keep (an unknown name is an error)."""
         sets = [Dataset(**{k: v for k, v in d.items() if k in Dataset.__dataclass_fields__}) for d in held.get("datasets", [])]
         if only:
             if missing := set(only) - {d.name for d in sets}:

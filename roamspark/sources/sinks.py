@@ -8,7 +8,6 @@ import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,10 +28,14 @@ def write_records(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def write_json(value: object, path: str) -> None:
-    at = Path(path)
-    at.parent.mkdir(parents=True, exist_ok=True)
-    at.write_text(json.dumps(value, indent=2, ensure_ascii=False, default=str) + "\n", encoding="utf-8")
+def write_json(spark: SparkSession, value: object, path: str) -> None:
+    """One indented file, in whatever store the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray((json.dumps(value, indent=2, ensure_ascii=False, default=str) + "\n").encode()))
+    finally:
+        out.close()
 
 
 def write_summary(spark, rows: list[dict], path: str) -> None:
