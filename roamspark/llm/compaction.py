@@ -1,7 +1,7 @@
 """Sharding: size-tiered compaction of small immutable shards, in DataFrame operations alone.
 
 append() writes what arrives as small shards, one for each block of ARRIVAL ids and writing task, without a shuffle. plan() groups shard sizes into runs: a run's tier counts how often
-its bytes, from BASE on, grew FAN-fold; FAN successive runs of one tier and domain merge, round by round, until a run holds TARGET bytes or no tier has FAN runs. Domains are
+its bytes, from BASE on, grew FAN-fold; FAN successive runs of one tier and domain merge, round by round, until runs hold TARGET bytes or no tier has FAN smaller ones. Domains are
 DOMAIN successive arrivals, so that no window over shard sizes grows with the table. compact() rewrites the rows of merged runs once, a run
 being cut into files of TARGET bytes in the order of their rows; runs that did not merge stay where they are.
 
@@ -56,10 +56,11 @@ def shards(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 
 
 def plan(sizes: DataFrame, base: int = BASE, fan: int = FAN, target: int = TARGET, domain: int = DOMAIN) -> DataFrame:
-    """arrival, n_bytes, run (its first arrival), arrivals (of the run), of sizes(arrival, n_bytes): one row a shard, never a document."""
-    now = sizes.select("arrival", "n_bytes", F.col("arrival").alias("run"))
+    """arrival, n_bytes, run (its first arrival), arrivals (of the run), of sizes(arrival, n_bytes): one row a shard, never a document. Rounds go on until one merges nothing; each is
+    staged, so that a plan is one round long."""
+    now = kit.staged(sizes.select("arrival", "n_bytes", F.col("arrival").alias("run")), "runs")
     steps = tiers(base, fan, target)
-    for _ in range(len(steps) + 2):
+    while True:
         runs = now.groupBy("run").agg(F.sum("n_bytes").alias("size"))
         tier = sum((F.col("size") >= s).cast("int") for s in steps)
         runs = runs.select("run", F.floor(F.col("run") / domain).alias("d"), tier.alias("tier"))
@@ -68,7 +69,10 @@ def plan(sizes: DataFrame, base: int = BASE, fan: int = FAN, target: int = TARGE
         whole = Window.partitionBy("d", "tier", "g")
         merged = group.withColumns({"k": F.count("*").over(whole), "into": F.min("run").over(whole)})
         moved = merged.select("run", F.when((F.col("tier") < len(steps)) & (F.col("k") == fan), F.col("into")).otherwise(F.col("run")).alias("into"))
-        now = now.join(moved, "run").select("arrival", "n_bytes", F.col("into").alias("run"))
+        moved = kit.staged(moved.where("run <> into"), "moved")
+        if not moved.limit(1).count():
+            break
+        now = kit.staged(now.join(moved, "run", "left").select("arrival", "n_bytes", F.coalesce("into", "run").alias("run")), "runs")
     return now.withColumn("arrivals", F.count("*").over(Window.partitionBy("run")))
 
 
@@ -174,18 +178,22 @@ def op6_compaction(spark, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("arrival").cast("long").alias("arrival"), F.col("run").cast("long").alias("run"), F.col("file").cast("long").alias("file"), "n_bytes", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+#: Rounds that the SQL spells out, more than any domain needs: a round leaves a quarter of the runs of a tier and three at most, and a run rises through the tiers but once.
+ROUNDS = 12
+
+
 def _oracle() -> str:
     steps = tiers()
     parts = [f"s0 AS (SELECT coalesce(doc_id, 0) // {ARRIVAL} AS arrival, coalesce(doc_id, 0) // {ARRIVAL} AS run, sum(coalesce(strlen(text), 0)) AS n_bytes FROM documents GROUP BY 1, 2)"]
     tier = " + ".join(f"CAST(size >= {s} AS INT)" for s in steps)
-    for k in range(len(steps) + 2):
+    for k in range(ROUNDS):
         parts += [
             f"r{k} AS (SELECT run, run // {DOMAIN} AS d, {tier} AS tier FROM (SELECT run, sum(n_bytes) AS size FROM s{k} GROUP BY run))",
             f"g{k} AS (SELECT *, (row_number() OVER (PARTITION BY d, tier ORDER BY run) - 1) // {FAN} AS g FROM r{k})",
             f"m{k} AS (SELECT run, CASE WHEN tier < {len(steps)} AND count(*) OVER w = {FAN} THEN min(run) OVER w ELSE run END AS target FROM g{k} WINDOW w AS (PARTITION BY d, tier, g))",
             f"s{k + 1} AS (SELECT arrival, n_bytes, target AS run FROM s{k} JOIN m{k} USING (run))",
         ]
-    last = f"s{len(steps) + 2}"
+    last = f"s{ROUNDS}"
     return f"""WITH {", ".join(parts)},
 doc AS (SELECT doc_id, coalesce(doc_id, 0) // {ARRIVAL} AS arrival, coalesce(strlen(text), 0) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
 put AS (SELECT doc.*, run, count(DISTINCT doc.arrival) OVER (PARTITION BY run) AS arrivals, coalesce(sum(doc.n_bytes) OVER (PARTITION BY run ORDER BY doc.arrival, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before

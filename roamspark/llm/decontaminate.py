@@ -4,15 +4,17 @@ Normalising lower-cases A-Z and takes words, runs of bytes that are not ASCII or
 single spaces. Windows are WINDOW successive words of an item; an item of fewer words, but not none, is one window.
 A document is scanned once; each match gives its word range, and the words' byte offsets map it to the original text.
 
-The automaton is broadcast. Its size follows the benchmark, not the corpus, and is bounded: beyond MAX_WINDOWS windows the items are
-dealt into blocks by a hash of their id, and each block's automaton scans the documents in one further step of the same pass.
+The automaton is broadcast. Its size follows the benchmark, not the corpus, and is bounded: beyond MAX_WINDOWS windows these are
+dealt into blocks by a hash, and the documents are scanned, and staged, a block at a time, so that no process holds two automata.
 
 Defined results: null and wordless texts have no words and no hits; null and wordless items have no windows; equal windows of several items
-count for each; a null item id is written as an empty text; repeated rows are scanned alike; empty tables give no rows or no hits.
+count for each; a null item id is written as an empty text; repeated rows are scanned alike; matches that overlap are one range, and equal ranges of several windows (ties) one hit; empty tables give no rows or no hits; columns besides those named
+and those of keep are neither read nor returned, whatever they are called; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -96,17 +98,24 @@ _PAIRS = ("array<struct<first:long,last:long>>", "array<struct<start:long,stop:l
 _PAIR = {k: pa.list_(pa.struct([(a, pa.int64()), (b, pa.int64())])) for k, a, b in (("hits", "first", "last"), ("spans", "start", "stop"))}
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, max_windows: int) -> Iterator[dict[bytes, list[str]]]:
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("binary").alias("text"))
-    bound = items.agg(F.sum(F.greatest(F.lit(1), F.floor(F.coalesce(F.length("text"), F.lit(0)) / 2)))).first()[0] or 0  # at least the windows
-    n = max(1, -(-int(bound) // (4 * max_windows)))
-    for k in range(n):
-        patterns: dict[bytes, list[str]] = defaultdict(list)
-        for item, text in items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).toLocalIterator():
-            for w in windows_of(words_of(bytes(text or b""))):
-                if item not in patterns[w]:
-                    patterns[w].append(item)
-        yield dict(patterns)
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("binary").alias("text"))
+
+
+def _number(items: DataFrame, max_windows: int) -> int:
+    """Blocks into which the windows are dealt, so that none holds much more than max_windows: a text has at most a window for every other byte."""
+    bound = items.agg(F.sum(F.greatest(F.lit(1), F.floor(F.coalesce(F.length("text"), F.lit(0)) / 2)))).first()[0] or 0
+    return max(1, -(-int(bound) // max_windows))
+
+
+def _block(items: DataFrame, k: int, n: int) -> dict[bytes, list[str]]:
+    """The k-th of n blocks of windows, with their items; the benchmark passes by a partition at a time, so the driver holds one block alone."""
+    patterns: dict[bytes, list[str]] = defaultdict(list)
+    for item, text in items.toLocalIterator():
+        for w in windows_of(words_of(bytes(text or b""))):
+            if zlib.crc32(w) % n == k and item not in patterns[w]:
+                patterns[w].append(item)
+    return dict(patterns)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: list[str] | None = None, max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -114,9 +123,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     context = docs.sparkSession.sparkContext
     carried = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep or [])])
     out = carried.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.lit(None).cast(_PAIRS[0]), "spans": F.lit(None).cast(_PAIRS[1]), "items": F.lit(None).cast("array<string>")})
-    blocks = list(_blocks(benchmark, item_col, item_text, max_windows))
-    for k, patterns in enumerate(blocks):
-        out = out.mapInArrow(_step(context.broadcast(patterns), k == 0, k == len(blocks) - 1), out.schema)
+    items = _items(benchmark, item_col, item_text)
+    n = _number(items, max_windows)
+    for k in range(n):
+        shared = context.broadcast(_block(items, k, n))
+        out = out.mapInArrow(_step(shared, k == 0, k == n - 1), out.schema)
+        if k < n - 1:  # the next block's automaton is made once this one is gone
+            out = kit.staged(out, "scanned")
+            shared.destroy()
     return out.select("doc_id", "n_words", "hits", "spans", "items", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep or [])])
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -13,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 U64 = np.uint64
-_own_dirs: dict[str, str] = {}
 _scratch: list[list[str]] = []
 CHUNK = 1 << 20  # bytes of text that vectorised code takes at a time
 _P = 0x9E3779B97F4A7C15 | 1
@@ -28,20 +28,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a new one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = held.get() if held.isDefined() else None
-    if not at:
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="roamspark-")
-        at = _own_dirs[app]
-    return at.rstrip("/")
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession

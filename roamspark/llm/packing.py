@@ -6,14 +6,15 @@ opens a window; the unused rests that BM25 ranks highest for it fill the window
 that one is the next seed, first in its window. A shard's last, partly filled window is cut into pieces whose lengths are powers of two, each a sequence of its own, so that
 nothing is padded.
 
-Shards are lexical: rests are dealt by range of a 32-bit similarity hash of their ids (ties by a hash of the row), so that each partition holds neighbours of
-a bounded number of rows, whatever one hash value's share is, and every shard is packed in bounded memory by one task.
+Shards are lexical: rests are dealt into ranges of about RANGE shards by a 32-bit similarity hash of their ids (ties by a hash of the row, so that no hash value's share matters). Bounds of
+the ranges are quantiles of the rows whose hash falls into a fixed part, so ranges, shards and what is packed together follow from the rows alone, not from how many tasks there are. A range
+is read in order and every shard packed in bounded memory by one task.
 
-Sequence ids: 2**62 marks packed windows; bits 36 and up are the partition that made the sequence, the lowest 36 bits number its sequences. Both
-kinds of partition read staged or source files in a fixed order, so that a lost task makes the same ids again.
+Sequence ids: 2**62 marks packed windows; bits 36 and up are the range that made the sequence, or for whole windows the partition of the input, the lowest 36 bits number its sequences. A lost
+task makes the same ids again.
 
-Defined results: a null or empty text is the single id 0; repeated rows are packed as documents of their own; null ids are carried; an empty table gives no rows;
-columns besides id and text are neither read nor returned; texts of any length are tokenized whole.
+Defined results: a null or empty text is the single id 0; repeated rows are packed as documents of their own, in any order among them; equal scores (ties) go by the order in the shard; null
+ids are carried; an empty table gives no rows; columns besides id and text are neither read nor returned, whatever they are called; texts of any length are tokenized whole.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from . import kit
 
 WINDOW = 1024
 SHARD = 1024
+#: Shards of a range; rows that the bounds of ranges are taken from, about.
+RANGE, SAMPLED = 8, 100_000
 K1, B = 1.2, 0.75
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PIECES = [x.split()[0] for x in PIECE.split(", ")]
@@ -216,18 +219,34 @@ def _binary(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int
     return out
 
 
+def ranged(rests: DataFrame, shard: int) -> DataFrame:
+    """rests with key, and with range, which of the successive ranges of keys with about RANGE * shard rows each it is in; dealt by range."""
+    key = F.shiftleft(F.col("sketch"), 31).bitwiseOR(F.xxhash64("ids", "doc_id").bitwiseAND((1 << 31) - 1))
+    keyed = rests.withColumn("key", key)
+    total = rests.count()
+    n = max(1, -(-total // (RANGE * shard)))
+    part = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(max(1, total // SAMPLED)))
+    some = np.sort(keyed.where(part == 0).select("key").toArrow()["key"].to_numpy()) if n > 1 else np.zeros(0, np.int64)
+    bounds = some[(np.arange(1, n) * len(some)) // n] if len(some) else np.zeros(0, np.int64)
+    names = [*rests.columns, "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.searchsorted(bounds, b.column(len(names) - 1).to_numpy(), "right"))], names=[*names, "range"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
+    return keyed.mapInArrow(run, f"{schema}, range long").select("doc_id", "start", "doc_tokens", "ids", "range", "key").repartition(n, "range")
+
+
 def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece."""
     made = kit.staged(tokenized(docs, path or tokenizer_path(), id_col, text_col), "tokenized")
     rests = made.where("ids is not null").select("doc_id", "start", "doc_tokens", "ids", "sketch")
-    n = max(1, docs.sparkSession.sparkContext.defaultParallelism, -(-rests.count() // (8 * shard)))
     kind = made.schema["doc_id"].dataType.simpleString()
-    dealt = rests.withColumn("tie", F.xxhash64("ids", "doc_id")).repartitionByRange(n, "sketch", "tie").sortWithinPartitions("sketch", "tie", "doc_id", "start")
+    dealt = ranged(rests, shard).sortWithinPartitions("range", "key", "doc_id", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = PACKED + (TaskContext.get().partitionId() << 36)
+        number, own = PACKED, -1
         held: list[tuple] = []
 
         def packed() -> pa.RecordBatch:
@@ -248,7 +267,11 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
         id_type = None
         for b in batches:
             id_type = b.schema.field(0).type
-            for row in zip(*(c.to_pylist() for c in b.columns[:4])):
+            for *row, part in zip(*(c.to_pylist() for c in b.columns[:5])):
+                if part != own:
+                    if held:
+                        yield packed()
+                    number, own = PACKED + (part << 36), part
                 held.append(row)
                 if len(held) == shard:
                     yield packed()

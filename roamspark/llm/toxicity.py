@@ -1,11 +1,12 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling (gru.py) scores every overlapping window of every text.
 
 A text's score is a calibrated probability from its highest window and the sum of all windows' odds. Windows are gru.WINDOW words, each gru.STRIDE words after the last, and cover all words.
-Fitting takes the PER_CLASS labelled documents of each class with the least hash of their id, whole; they train the network on the driver.
+Fitting takes the PER_CLASS labelled documents of each class with the least hash of their id, whole, in that order as long as they have FIT_BYTES of text; they train the network on the
+driver.
 
 Defined results: a null or blank text is one empty window, with the score that the network gives it; repeated rows are scored alike; without labels of
-both classes every score is near the one class seen, or 0; null labels are not learned from; an empty table gives no rows; columns besides id and text are neither
-read nor returned; texts of any length are read whole.
+both classes every score is near the one class seen, or 0; null labels, and ids that are labelled with both classes, are not learned from; an empty table gives no rows; columns besides id
+and text are neither read nor returned; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -14,23 +15,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import gru, kit
 
-PER_CLASS = 1500
+PER_CLASS, FIT_BYTES = 1500, 24 << 20
 #: Distinct words whose gate inputs a worker holds between batches.
 CACHE = 250_000
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> gru.Net:
-    """labels holds only rows that may be learned from. At most 2 * per_class whole documents reach the driver."""
-    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    """labels holds only rows that may be learned from. At most 2 * per_class whole documents, of FIT_BYTES together, reach the driver."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    rows = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("id", "y")
     by = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     parts = [rows.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
-    picked = parts[0].union(parts[1]).dropDuplicates(["id"])
-    got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").where("text is not null").select(F.col("text").cast("binary").alias("text"), "y", F.xxhash64("id").alias("h")).orderBy("h", "text").collect()
+    picked = F.broadcast(parts[0].union(parts[1]))
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id").where("text is not null").select(F.col("text").cast("binary").alias("text"), "y", F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t")).distinct()
+    order = Window.orderBy("h", "t").rowsBetween(Window.unboundedPreceding, 0)  # the picked rows
+    got = found.withColumn("total", F.sum(F.length("text")).over(order)).where(F.col("total") <= FIT_BYTES).orderBy("h", "t").collect()
     return gru.fit([bytes(r.text) for r in got], np.array([r.y for r in got]), by.get(1, 0) / max(sum(by.values()), 1))
 
 

@@ -225,6 +225,39 @@ def test_neighbours_share_a_window():
     assert [[k for k, _, _ in s] for s in out][0] == [0, 2, 4]
 
 
+def test_bm25_ranks_as_counting_does():
+    rng = np.random.default_rng(6)
+    rests = [rng.choice(60, rng.integers(5, 80), p=np.arange(60, 0, -1) / 1830).astype(np.uint32) for _ in range(40)]
+    mean = sum(map(len, rests)) / len(rests)
+    df = Counter(t for r in rests for t in set(r.tolist()))
+
+    def bm25(query, doc):
+        tf = Counter(doc.tolist())
+        idf = {t: math.log(1 + (len(rests) - df[t] + 0.5) / (df[t] + 0.5)) for t in set(query.tolist())}
+        return sum(w * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(doc) / mean)) for t, w in idf.items() if t in tf)
+
+    index = packing.Index(rests)
+    for k in range(len(rests)):
+        assert np.allclose(index.scores(k), [bm25(rests[k], r) for r in rests])
+    first = packing.pack_shard(rests, 200)[0]
+    best = sorted(range(1, len(rests)), key=lambda d: -bm25(rests[0], rests[d]))
+    assert [d for d, _, _ in first] == [0, *best[: len(first) - 1]]
+
+
+def test_packing_does_not_depend_on_tasks(spark, docs, monkeypatch):
+    """What is packed together follows from the rows, over several ranges and shards."""
+    monkeypatch.setattr(packing, "RANGE", 2)
+
+    def packed(rows):
+        out = defaultdict(list)
+        for r in packing.pack(rows, shard=16).collect():
+            out[r.sequence_id].append((r.offset, r.doc_id, r.start, r.length))
+        return sorted(tuple(sorted(x)) for x in out.values()), {k for k in out if k >= packing.PACKED}
+
+    one, two = packed(docs.repartition(2)), packed(docs.repartition(8))
+    assert one == two and len({k >> 36 for k in one[1]}) > 3
+
+
 def test_special_text_is_encoded_as_tokenizers_does():
     from tokenizers import Tokenizer
 
