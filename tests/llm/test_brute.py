@@ -471,17 +471,18 @@ def test_minhash_recall(spark):
     assert all((c, i) in want for i, c in got.items() if c != i)
 
 
-@pytest.mark.parametrize("small", [16, 2])
-def test_minhash_pairs_in_buckets_of_others(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "length", "rare"), [(16, 140, 16), (2, 140, 16), (2, 240, 0)])
+def test_minhash_pairs_in_buckets_of_others(spark, monkeypatch, small, length, rare):
     """Texts of one passage and words of their own share keys made of the passage; each pair of close ones is found all the same."""
     monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "RARE", rare)
     rng = random.Random(7)
-    passage = [f"p{k}" for k in range(140)]
+    passage = [f"p{k}" for k in range(length)]
     rows = []
     for i in range(60):
         own = [f"w{rng.randrange(10**9)}" for _ in range(70)]
-        near = own[:-30] + [f"w{rng.randrange(10**9)}" for _ in range(30)]
-        rows += [(1000 + i, passage + own), (2000 + i, passage + near)]
+        near = own[: -30 if rare else -6] + [f"w{rng.randrange(10**9)}" for _ in range(30 if rare else 6)]
+        rows += [(1000 + i, passage[: 140 if rare else 60] + own), (2000 + i, passage[: 140 if rare else 60] + near)]
     want = grouped(dict(rows), close)
     assert len(set(want.values())) == 60
     rows = sorted(((i, " ".join(t)) for i, t in rows), key=lambda r: zlib.crc32(str(r).encode()))
