@@ -473,3 +473,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
 
 def op1_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(kit.read_table(spark, sf_dir, "documents"))
+
+
+#: The result as SQL: every string of 100 bytes in hexadecimal, all but the first of equal ones, and the bytes that these cover.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, k, substr(h, 2 * k + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS k FROM d WHERE n >= 100)),
+r AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) AS place FROM w) WHERE place > 1),
+g AS (SELECT doc_id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 100 THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT doc_id, run, min(k) AS a, max(k) + 100 AS z FROM (SELECT doc_id, k, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM g) GROUP BY 1, 2),
+e AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS stops FROM s GROUP BY 1),
+l AS (SELECT doc_id, n, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(starts) + 1), lambda i: substr(h, 2 * CASE WHEN i = 0 THEN 0 ELSE stops[i] END + 1, 2 * (CASE WHEN i = len(starts) THEN n ELSE starts[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE stops[i] END))), '') END AS left_h FROM d LEFT JOIN e USING (doc_id))
+SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(left_h)) AS kept_sha256 FROM l
+"""

@@ -158,3 +158,18 @@ def _has_repeats(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = kit.read_table(spark, sf_dir, "documents"), kit.read_table(spark, sf_dir, "labels")
     return measure(docs, fit(docs, labels.where("quality = 1")))
+
+
+def quality_base(spark, sf_dir: str) -> DataFrame:
+    """The columns of op10_quality that do not depend on the model."""
+    return op10_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+BASE_ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, count(*) AS n_dup_lines FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line) AS place, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)) WHERE place > 1 AND regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+g AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, array_to_string(w[k:k + 4], ' ')) AS n FROM d, range(1, len(w) - 3) r(k) WHERE len(w) >= 5),
+m AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM g, range(k, k + 5) r(j) WHERE n > 1 GROUP BY 1),
+b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN l USING (doc_id) LEFT JOIN m USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b
+"""

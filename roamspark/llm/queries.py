@@ -17,8 +17,18 @@ def queries() -> dict:
         "op8_language": language.op8_language,
         "op9_minhash": minhash.op9_minhash,
         "op10_quality": quality.op10_quality,
+        "score_base": scoring.score_base,
+        "warc_records": warc.warc_records,
+        "quality_base": quality.quality_base,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.ORACLE, "op6_compaction": compaction.ORACLE}
+    return {
+        "op1_dedup": dedup.ORACLE,
+        "op4_decontaminate": decontaminate.ORACLE,
+        "op6_compaction": compaction.ORACLE,
+        "warc_records": warc.ORACLE,
+        "score_base": scoring.BASE_ORACLE,
+        "quality_base": quality.BASE_ORACLE,
+    }

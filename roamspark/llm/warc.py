@@ -215,3 +215,18 @@ def op7_warc(spark, sf_dir: str) -> DataFrame:
     archives = kit.staged(write_archives(planned(pages), dictionary_for(pages)), "warc")
     page = lambda c: F.expr(f"cast(nullif(regexp_extract({c}, '^<urn:page:(.*)>$', 1), '') as long)")
     return read_archives(archives).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+def warc_records(spark, sf_dir: str) -> DataFrame:
+    """op7_warc with -1 for no reference, as drivers differ in how they show a missing number."""
+    return op7_warc(spark, sf_dir).withColumn("refers_to", F.coalesce("refers_to", F.lit(-1).cast("long")))
+
+
+#: The records as SQL: SHA-1 as 160 bits, five to a sign.
+ORACLE = r"""
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT DISTINCT h, list_reduce(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', substr(h, i, 1)) - 1) + 1, 4)), lambda a, b: a || b) AS bits FROM p),
+b AS (SELECT h, list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1)), lambda a, b: a || b) AS digest FROM d),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first ELSE -1 END AS refers_to FROM f JOIN b USING (h)
+"""

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roamspark.llm import compaction, ctw, decontaminate, dedup, gru, kit, language, minhash, packing, quality, scoring, suffixes, toxicity, warc
+from roamspark.llm import queries as registered
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -266,8 +267,9 @@ def test_special_text_is_encoded_as_tokenizers_does():
     assert packing.encoder(packing.tokenizer_path())(odd) == [t.encode(x, add_special_tokens=False).ids for x in odd]
 
 
-def test_decontaminate_agrees_with_sql(agree):
-    agree(decontaminate.op4_decontaminate, decontaminate.ORACLE)
+@pytest.mark.parametrize("name", sorted(registered.oracle_sql()))
+def test_query_agrees_with_sql(agree, name):
+    agree(registered.queries()[name], registered.oracle_sql()[name])
 
 
 def test_decontaminate_in_blocks_and_spans(docs, spark, texts):
@@ -281,10 +283,6 @@ def test_decontaminate_in_blocks_and_spans(docs, spark, texts):
             assert decontaminate.words_of(texts[i].encode()[s.start : s.stop]) == words[h["first"] : h["last"]]
 
 
-def test_compaction_agrees_with_sql(agree):
-    agree(compaction.op6_compaction, compaction.ORACLE)
-
-
 def test_compaction_versions(spark, docs, tmp_path):
     root = f"file://{tmp_path}/t"
     rows = compaction.shard_table(docs, root, arrival=8, base=20_000, fan=2, target=100_000)
