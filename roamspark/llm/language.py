@@ -208,8 +208,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     cell = F.shiftright("h", 52).alias("cell")
     sizes = ids.groupBy("lang", cell).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    least = sizes.withColumn("before", before).where(F.col("before") < per_lang).groupBy("lang").agg(F.max("cell").alias("most"))  # 4096 cells a language at most
-    near = ids.join(least, "lang").where(F.shiftright("h", 52) <= F.col("most")).select("lang", "h")
+    least = sizes.withColumn("before", before).where(F.col("before") < per_lang).groupBy("lang").agg(F.max("cell").alias("most"))  # 4096 cells a language at most; one row a language is broadcast
+    near = ids.join(F.broadcast(least), "lang").where(F.shiftright("h", 52) <= F.col("most")).select("lang", "h")
     ranked = kit.staged(near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_lang), "ranked")
     small = ranked.count() <= 1_000_000  # ids and ranks; beyond that a plain join
     chosen = rows.join(F.broadcast(ranked) if small else ranked, ["lang", "h"])

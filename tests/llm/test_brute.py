@@ -575,6 +575,58 @@ def test_gradients():
         net.p = held
 
 
+def test_forward_pass_is_what_the_equations_say():
+    """Scores of windows, a word and a hidden unit at a time."""
+    net, rng = gru.Net(3), np.random.default_rng(4)
+    net.word_odds[:], net.gram_odds[:] = rng.standard_normal(len(net.word_odds)), rng.standard_normal(len(net.gram_odds))
+    words = [b"abra", b"x", b"cadabra", b"z\xc3\xa9ro"]
+    data = np.frombuffer(b" ".join([b"", *words, b""]), np.uint8)
+    starts, ends, _ = kit.tokens(data, np.array([0, len(data)]))
+    word, grams, bounds = gru.word_features(data, starts, ends)
+    gates = net.projected(net.inputs(word, grams, bounds))
+    ids, mask = np.array([[0, 1, 2], [3, 3, 0]]), np.array([[True, True, True], [True, False, False]])
+    got = net.run(gates, ids, mask)
+    sig, p, n = (lambda x: 1 / (1 + math.exp(-x))), net.p, gru.HIDDEN
+
+    def inputs(k):
+        own = grams[bounds[k] : bounds[k + 1]].tolist()
+        mean = [sum(float(p["gram"][g][c]) for g in own) / max(len(own), 1) for c in range(gru.DIM)]
+        odds = [float(net.gram_odds[g]) for g in own]
+        return [*map(float, p["word"][word[k]]), *mean, float(net.word_odds[word[k]]), sum(odds) / max(len(odds), 1), max(odds, default=0.0)]
+
+    def direction(seq, d):
+        h, out = [0.0] * n, []
+        for k in seq if d == "f" else seq[::-1]:
+            v = inputs(k)
+            x = [sum(v[i] * float(p["w" + d][i, j]) for i in range(len(v))) + float(p["c" + d][j]) for j in range(3 * n)]
+            g = [sum(h[i] * float(p["u" + d][i, j]) for i in range(n)) for j in range(3 * n)]
+            z, r = [sig(x[j] + g[j]) for j in range(n)], [sig(x[n + j] + g[n + j]) for j in range(n)]
+            new = [math.tanh(x[2 * n + j] + r[j] * g[2 * n + j]) for j in range(n)]
+            h = [z[j] * h[j] + (1 - z[j]) * new[j] for j in range(n)]
+            out.append(h)
+        return out if d == "f" else out[::-1]
+
+    for row, seq in enumerate([[0, 1, 2], [3]]):
+        states = [a + b for a, b in zip(direction(seq, "f"), direction(seq, "b"))]
+        e = [sum(math.tanh(sum(s[i] * float(p["att"][i, j]) for i in range(2 * n))) * float(p["score"][j]) for j in range(gru.ATT)) for s in states]
+        total = sum(map(math.exp, e))
+        pooled = [sum(math.exp(w) / total * s[i] for w, s in zip(e, states)) for i in range(2 * n)]
+        assert math.isclose(got[row], sum(x * float(o) for x, o in zip(pooled, p["out"])) + float(p["bias"][0]), rel_tol=1e-3, abs_tol=1e-4)
+
+
+def test_contradictory_labels_are_not_learned(spark):
+    docs = spark.createDataFrame([(k, f"{'bad' if k % 2 else 'good'} word {k}") for k in range(40)], "doc_id long, text string")
+    held = [(k, k % 2) for k in range(38)] + [(38, 0), (38, 1), (39, 1), (39, 1)]
+    seen = []
+    original, gru.fit = gru.fit, lambda texts, y, share: seen.append((sorted(texts), y.sum(), share))
+    try:
+        toxicity.fit(docs, spark.createDataFrame(held, "doc_id long, toxic int"))
+    finally:
+        gru.fit = original
+    texts, ones, share = seen[0]
+    assert len(texts) == 39 and b"good word 38" not in texts and ones == 20 and abs(share - 20 / 39) < 1e-9
+
+
 def test_windows_cover_all_words():
     for n in (0, 1, gru.WINDOW, gru.WINDOW + 1, 1000):
         seen = {k for s in gru.windows(n) for k in range(s, min(s + gru.WINDOW, n))}

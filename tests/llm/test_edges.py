@@ -103,3 +103,26 @@ def test_quality(docs, labels):
     rows = quality.measure(docs, quality.fit(docs, labels.where("quality = 1"))).collect()
     assert len(rows) == len(ROWS) and all(r.base_failed for r in rows if r.doc_id in (1, 2, 4))
     assert quality.measure(empty(docs), quality.fit(empty(docs), empty(labels))).count() == 0
+
+
+def test_pipeline(spark, docs, tmp_path):
+    """Every stage takes nulls in any column, empty and long texts, ties and repeated rows, and an empty table."""
+    import corpus_pipeline as cp
+
+    sf = f"file://{tmp_path}/sf"
+    spark.createDataFrame([("i1", "the same line here the same line here"), ("i2", None), (None, "")], "item_id string, text string").write.parquet(f"{sf}/benchmark.parquet")
+    rows = [(*r, "s" if r[0] else None, len(r[1] or "") if r[0] != 2 else None) for r in ROWS]
+    held = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in cp.STAGES:
+        out = stage(spark, held, sf).collect()
+        assert stage(spark, held.limit(0), sf).count() == 0
+        if name == "language":
+            assert all(any(map(str.isalpha, r.text or "")) for r in out)
+        elif name == "near_copies":
+            assert len(out) == len({" ".join((r[1] or "").split()) for r in ROWS}) and any(r.doc_id is None for r in out)
+        elif name == "repeats":
+            assert len(out) == len(ROWS) and all(r.n_chars == len(r.text) for r in out)
+        elif name == "benchmark":
+            assert len(out) == len(ROWS) - 1 and all(r.doc_id != 5 for r in out)
+        else:
+            assert {r.doc_id for r in out} == {r[0] for r in ROWS}
