@@ -191,6 +191,15 @@ def validate(pattern: str, lines: list[str]) -> tuple[bool, str | None, str, str
     return True, None, "", ""
 
 
+def captures(pattern: str | None, line: str | None) -> dict[str, str | None] | None:
+    """What the named groups of a pattern find anywhere in a line whose runs of blanks are single ones; None without a match, or for a pattern that is none."""
+    try:
+        m = re.search(pattern, " ".join(line.split())) if pattern and line else None
+    except re.error:
+        return None
+    return m and m.groupdict()
+
+
 def locate(pattern: str, line: str) -> str:
     """The piece of the pattern at which its growing prefix stops matching, and the line from there."""
     cuts, depth, k = [], 0, 0

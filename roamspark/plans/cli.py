@@ -1,13 +1,17 @@
-"""Runs the datasets of a configuration: python -m roamspark.plans.cli --config FILE [--output-root DIR] [--dataset NAME]..."""
+"""Runs the datasets of a configuration: python -m roamspark.plans.cli --config FILE [--output-root DIR] [--dataset NAME]...
+
+Where the configuration or the environment gives an address and ROAMSPARK_API_KEY is set, the named models induce; otherwise the offline rules do."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 
 from pyspark.sql import SparkSession
 
 from ..operators.evaluate import evaluate
+from ..operators.induce import Chat, RuleBased
 from ..session import ship
 from ..sources import lines as sources
 from ..sources.sinks import run_folder, write_json, write_records, write_summary
@@ -20,7 +24,10 @@ def run(spark: SparkSession, config: str, out: str, only: list[str] | None = Non
     summary = []
     for d in plan.datasets:
         folder = run_folder(out, d.name, run_id)
-        got = get_engine(engine)(spark, settings=plan.settings).process_file(d.log_path)
+        kind = get_engine(engine)
+        key = os.environ.get("ROAMSPARK_API_KEY")
+        inducer = Chat.of(plan.settings, key, kind.style) if key and plan.settings.base_url else RuleBased()
+        got = kind(spark, inducer, plan.settings).process_file(d.log_path)
         write_records(got.payload(), f"{folder}/records.jsonl")
         write_json(spark, got.stats, f"{folder}/stats.json")
         row = {"dataset": d.name, **{k: got.stats.get(k) for k in ("lines", "groups", "records", "processed", "consolidated", "skipped", "llm_calls", "runtime_sec")}}

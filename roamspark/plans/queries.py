@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import consolidate, evaluate, extract, groups, header, mobility, sampling, templates
+from ..operators import consolidate, evaluate, extract, groups, header, induce, mobility, sampling, templates
 from ..operators.induce import covers
 from ..operators.templates import Parser
 from ..session import local_table, shared_dir, staged
@@ -307,9 +307,42 @@ def induction_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows += [("template", k, p.removeprefix(r"(?d)\A").removesuffix(r"\z"), ",".join(n)) for k, (t, _, _) in enumerate(TEMPLATES) for p, n in [templates.compile_template(t)]]
     rows += [("pattern", k, *((t[0], ",".join(t[1])) if (t := templates.translate(r)) else (None, None))) for k, (r, _, _) in enumerate(PYTHON_REGEXES)]
     rows += [("anchored", k, templates.anchored(r), None) for k, r in enumerate(["a", "^a", r"\Aa$"])]
+    rows += [("validated", k, str(ok), kind or (failed or "")) for k, (ok, failed, _, kind) in enumerate(induce.validate(p, lines) for p, lines in [("a.", ["ab", "ac"]), ("(", ["a"]), ("", ["a"]), ("ab", ["ab", "xy"])])]
+    rows += [("located", 0, induce.locate(r"stm (\w+) AP (\d+)", "stm up AP x"), None), ("captured", 0, json.dumps(induce.captures(r"AP (?P<ap>\S+)(?P<no>z)?", "an  AP   a1")), None)]
+    rows += [("repair sample", 0, ",".join(sampling.repair_sample(["a", "b", "a", "c", "d", "e", "f"], "c")), None), ("similar", 0, ",".join(sampling.sample(["up one", "up two", "down far off"], 3, "similar")), None)]
+    usage = induce.Chat(lambda m: '{"regex": "x", "connect_flag": -1}', "regex", (lambda m: '{"regex": "y"}', lambda m: "none"))
+    said = [str(usage.parser(["l"], [])), ",".join(usage.repair(["l"], "x", "l", "why"))]
+    rows += [("asked", k, v, None) for k, v in enumerate([*said, str(usage.usage.calls), ",".join(sorted(usage.usage.by_model))])]
+    rows += [("tokens", 0, str(induce.message_tokens([{"role": "user", "content": "abcdefgh"}])), None)]
     return local_table(spark, rows, "kind string, place long, found string, more string")
 
 
+def header_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header rules of replies, settings of a configuration, and what a model that mends its rule is told."""
+    reply = {"regex": RULE.regex, "date_format": RULE.date_format, "time_format": RULE.time_format}
+    told: list[str] = []
+
+    def ask(messages: list[dict]) -> str:
+        told.append(messages[-1]["content"])
+        return ["not JSON", json.dumps({**reply, "regex": r"(?P<date>\d{9})(?P<time>\d)"}), "so: " + json.dumps(reply)][len(told) - 1]
+
+    lines = staged(sources.sample_lines(wifi_lines(spark, sf_dir)), "first")
+    found = header.infer(lines, induce.Chat(ask).header)
+    missing = 0
+    for name in reply:
+        try:
+            header.HeaderRule.from_reply({k: v for k, v in reply.items() if k != name})
+        except ValueError:
+            missing += 1
+    config = {"llm": {"primary_model": "a", "base_url": "u", "fallback_models": "b, c", "request_timeout_seconds": "0.2", "max_retries": "x", "disable_fallback": "yes"}}
+    held = sources.Settings.load(config, {"ROAMSPARK_MODEL": "m"})
+    rows = [("inferred", found.regex), ("catalogue", header.infer(lines).regex), ("asked", str(len(told))), ("told", str("no_match" in told[2] and "Outcomes" in told[2])), ("missing", str(missing))]
+    rows += [("json", json.dumps(header.json_in('x {"a": {"b": 1}} y'))), ("none", str(header.json_in("x } {")))]
+    rows += [(k, str(getattr(held, k))) for k in ("primary_model", "base_url", "fallback_models", "request_timeout_seconds", "max_retries", "disable_fallback", "batch_size")]
+    legacy = header.DateRule.build(["", "on 2024-05-06 up"], lambda m: json.dumps({"regex": r"on (?P<ts>\S+)", "format": "%Y-%m-%d"}))
+    return local_table(spark, [*rows, ("legacy", str(legacy.parse("on 2024-05-06 up"))), ("names", ",".join(d.name for d in sources.Experiment.of({"datasets": [{"name": n, "log_path": "x"} for n in "abc"]}, ["c", "a"]).datasets))], "name string, value string")
+
+
 def times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times from their parts, from text and in a zone, and sizes of messages."""
     rows = wifi_lines(spark, sf_dir).select("line_index", F.substring("raw", 1, 19).alias("t"))
@@ -389,6 +422,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["events_only_predicted"] = lambda s, d: scored(s, d, lambda e, r, t: e.select("line_index", "event").exceptAll(evaluate.truth_by_line(t, 1 << 40).select("line_index", "event")))
     q["run_stats"] = scan_stats
     q["diverse_sample"] = lambda s, d: sampling.sampled_groups(groups.group_sample(parsed(s, d), order=F.col("line_index")), 8)
+    q["random_sample"] = lambda s, d: sampling.sampled_groups(groups.group_sample(parsed(s, d), order=F.col("line_index")), 8, "random")
     q["kmeans_batches"] = lambda s, d: sampling.batches(groups.group_sample(parsed(s, d), order=F.col("line_index")), 16)
     q["ap_transitions"] = lambda s, d: mobility.transitions(found(s, d))
     q["ap_hotspots"] = lambda s, d: mobility.hotspots(found(s, d))
@@ -404,7 +438,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["engine_file_records"], q["engine_log_records"], q["baseline_records"] = engine_of_file, engine_of_logs, baseline_of_file
     q["batch_sizes"], q["summary_file"], q["records_file"], q["json_files"] = batch_sizes, summary_file, records_file, json_files
     q["catalogue_times"], q["tricky_lines"], q["induction_texts"], q["times"] = catalogue_lines, tricky, induction_texts, times
-    q["engine_names"], q["progress_events"] = engine_names, progress_events
+    q["engine_names"], q["progress_events"], q["header_texts"] = engine_names, progress_events, header_texts
     return q
 
 
@@ -600,8 +634,16 @@ SELECT 'by_line' AS dataset, *, {counted} FROM lined UNION ALL SELECT 'by_record
     o["tricky_lines"] = _sql_rows([(k, status, second, content, skeleton) for k, (status, second, content, skeleton) in enumerate(TRICKY_WANT)], "line_index, status, second, content, skeleton")
     said = [("reply", k, want, str(flag)) for k, (_, want, flag) in enumerate(REPLIES)] + [("regex reply", 0, r"a\d", "1")] + [("template", k, want, names) for k, (_, want, names) in enumerate(TEMPLATES)]
     said += [("pattern", k, want, names) for k, (_, want, names) in enumerate(PYTHON_REGEXES)] + [("anchored", k, want, None) for k, want in enumerate([r"\Aa\Z", r"^a\Z", r"\Aa$"])]
+    said += [("validated", 0, "True", ""), ("validated", 1, "False", "syntax_error"), ("validated", 2, "False", "input_error"), ("validated", 3, "False", "match_fail")]
+    said += [("located", 0, r"pattern fails at: (\d+) | line there: x", None), ("captured", 0, '{"ap": "a1", "no": null}', None), ("repair sample", 0, "c,a,b,d,e", None), ("similar", 0, "up one,up two,down far off", None)]
+    said += [("asked", 0, "('x', -1)", None), ("asked", 1, "y", None), ("asked", 2, "3", None), ("asked", 3, "fallback0,fallback1,primary", None), ("tokens", 0, "7", None)]
     o["induction_texts"] = _sql_rows(said, "kind, place, found, more")
     o["times"] = f"WITH {_LINES}, t AS (SELECT line_index, substr(raw, 1, 19) AS t FROM lines) SELECT line_index, substr(t, 1, 17) || '00' AS merged, substr(t, 1, 17) || '00' AS joined, t AS whole, t AS read, strftime(CAST(t AS TIMESTAMP) - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS utc, CAST(10 AS BIGINT) AS tokens FROM t"
+    o["header_texts"] = _sql_rows([
+        ("inferred", r"(?P<date>\d{4}-\d\d-\d\d)[T\s](?P<time>\d\d:\d\d:\d\d)"), ("catalogue", r"(?P<date>\d{4}-\d\d-\d\d)[T\s](?P<time>\d\d:\d\d:\d\d)"), ("asked", "3"), ("told", "True"), ("missing", "3"), ("json", '{"a": {"b": 1}}'), ("none", "None"),
+        ("primary_model", "m"), ("base_url", "u"), ("fallback_models", "('b', 'c')"), ("request_timeout_seconds", "1.0"), ("max_retries", "2"), ("disable_fallback", "True"), ("batch_size", "8"), ("legacy", "2024-05-06 00:00:00"), ("names", "a,c"),
+    ], "name, value")
+    o["random_sample"] = f"WITH {_PARSED}, s AS (SELECT DISTINCT skeleton, content FROM (SELECT skeleton, content FROM parsed QUALIFY row_number() OVER (PARTITION BY skeleton ORDER BY line_index) <= 200)) SELECT skeleton, row_number() OVER w - 1 AS place, content AS line FROM s WINDOW w AS (PARTITION BY skeleton ORDER BY sha1('0' || chr(0) || content)) QUALIFY row_number() OVER w <= 8"
     o["engine_names"] = "SELECT * FROM (VALUES ('log_extractor', false, true), ('wifi_log_parser', true, true)) t(name, standard, told)"
     o["progress_events"] = "SELECT * FROM (VALUES (0, 0.03, 0, 30), (1, 0.15, 2, 50), (2, 0.27, 5, 20), (3, 0.3, 5, 50)) t(place, fraction, chunk, fill)"
     return o
