@@ -127,7 +127,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n = _number(items, max_windows)
     for k in range(n):
         shared = context.broadcast(_block(items, k, n))
-        out = out.mapInArrow(_step(shared, k == 0, k == n - 1), out.schema)
+        out = out.mapInArrow(kit.tidy(_step(shared, k == 0, k == n - 1)), out.schema)
         if k < n - 1:  # the next block's automaton is made once this one is gone
             out = kit.staged(out, "scanned")
             shared.destroy()

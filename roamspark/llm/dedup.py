@@ -216,7 +216,7 @@ def cut(docs: DataFrame, buckets: int, repeated: bool) -> DataFrame:
         if count:
             yield from sent()
 
-    return docs.mapInArrow(run, WIDE)
+    return docs.mapInArrow(kit.tidy(run), WIDE)
 
 
 WIDE = "bucket long, doc long, th long, kind byte, payload binary"
@@ -261,7 +261,7 @@ def match(contexts: DataFrame) -> DataFrame:
         if asked.any():
             yield _asks(c[asked], salts[asked])
 
-    return contexts.select("bucket", "payload").repartition("bucket").mapInArrow(run, "doc long, th long, kind byte, payload binary")
+    return contexts.select("bucket", "payload").repartition("bucket").mapInArrow(kit.tidy(run), "doc long, th long, kind byte, payload binary")
 
 
 def meet(rows: DataFrame, buckets: int, keep: bool, carried: str | None, last: bool) -> DataFrame:
@@ -336,7 +336,7 @@ def meet(rows: DataFrame, buckets: int, keep: bool, carried: str | None, last: b
                     asks.append(np.frombuffer(payload, ASK))
         yield from sent()
 
-    return rows.repartition("doc", "th").sortWithinPartitions("doc", "th", "kind").mapInArrow(run, result)
+    return rows.repartition("doc", "th").sortWithinPartitions("doc", "th", "kind").mapInArrow(kit.tidy(run), result)
 
 
 _HEAD = np.dtype([("h", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("salt", "<u2"), ("at", "<u4"), ("a", "u1"), ("size", "u1")])
@@ -411,7 +411,7 @@ def sort_blocks(contexts: DataFrame, buckets: int) -> DataFrame:
                 w["doc"], w["th"], w["at"] = own["doc"][of[split]], own["th"][of[split]], at[split]
                 yield _wide(_bucketed(w["x"], lambda rows: w[rows].tobytes(), buckets), None)
 
-    return contexts.repartition("bucket").mapInArrow(run, WIDE)
+    return contexts.repartition("bucket").mapInArrow(kit.tidy(run), WIDE)
 
 
 def settle(windows: DataFrame) -> DataFrame:
@@ -427,7 +427,7 @@ def settle(windows: DataFrame) -> DataFrame:
         if m.any():
             yield _marks(w["doc"][m], w["th"][m], w["at"][m].astype(np.int64), w["at"][m].astype(np.int64) + LENGTH)
 
-    return windows.select("bucket", "payload").repartition("bucket").mapInArrow(run, "doc long, th long, kind byte, payload binary")
+    return windows.select("bucket", "payload").repartition("bucket").mapInArrow(kit.tidy(run), "doc long, th long, kind byte, payload binary")
 
 
 def packed(docs: DataFrame, carried: str | None, repeated: bool) -> DataFrame:
@@ -442,7 +442,7 @@ def packed(docs: DataFrame, carried: str | None, repeated: bool) -> DataFrame:
             cols = [b.column(0).cast(pa.int64()).fill_null(-(1 << 63)), pa.array(text_hash(data, offs) if repeated else np.zeros(b.num_rows, np.int64)), pa.array(np.full(b.num_rows, TEXT, np.int8)), zipped]
             yield pa.RecordBatch.from_arrays([*cols, *([b.column(2)] if carried else [])], names=["doc", "th", "kind", "payload", *(["c"] if carried else [])])
 
-    return docs.mapInArrow(run, "doc long, th long, kind byte, payload binary" + (f", c {carried}" if carried else ""))
+    return docs.mapInArrow(kit.tidy(run), "doc long, th long, kind byte, payload binary" + (f", c {carried}" if carried else ""))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep_text: bool = False) -> DataFrame:

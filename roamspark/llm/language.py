@@ -289,7 +289,7 @@ def _raw(rows: DataFrame, who: Identifier) -> DataFrame:
                     old = b.column(2).slice(i, j - i).to_pylist()
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([[*o[:-1], *s] for o, s in zip(old, sums.tolist())], pa.list_(pa.float64()))], names=["lang", "text", "sums"])
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(kit.tidy(run), out.schema)
         out = kit.staged(out, "sums") if len(who.langs) > BLOCK else out
     return out.select("lang", "sums")
 
@@ -318,8 +318,8 @@ def _scored(rows: DataFrame, who: Identifier) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([*part[:n], *map(pa.array, state)], names=b.schema.names)
 
         if last:
-            return out.mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, bits double, rejected boolean{more}")
-        out = kit.staged(out.mapInArrow(run, out.schema), "block")
+            return out.mapInArrow(kit.tidy(run), f"`{key}` {kind}, lang_pred string, score double, bits double, rejected boolean{more}")
+        out = kit.staged(out.mapInArrow(kit.tidy(run), out.schema), "block")
     raise AssertionError("no block")
 
 

@@ -130,7 +130,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 ids_of = b.column(0).slice(i, j - i).take(pa.array(doc, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids_of, *[pa.array(c, pa.int64()) for c in out[:6]], pa.array(out[6], pa.binary()), pa.array(out[7], pa.int64())], names=["doc_id", *_PIECES, "ids", "sketch"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, {PIECE}, ids binary, sketch long")
+    return rows.mapInArrow(kit.tidy(run), f"doc_id {kind}, {PIECE}, ids binary, sketch long")
 
 
 class Index:
@@ -235,7 +235,7 @@ def ranged(rests: DataFrame, shard: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.searchsorted(bounds, b.column(len(names) - 1).to_numpy(), "right"))], names=[*names, "range"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
-    return keyed.mapInArrow(run, f"{schema}, range long").select("doc_id", "start", "doc_tokens", "ids", "range", "key").repartition(n, "range")
+    return keyed.mapInArrow(kit.tidy(run), f"{schema}, range long").select("doc_id", "start", "doc_tokens", "ids", "range", "key").repartition(n, "range")
 
 
 def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
@@ -278,7 +278,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
         if held:
             yield packed()
 
-    rest = dealt.mapInArrow(run, f"doc_id {kind}, {PIECE}")
+    rest = dealt.mapInArrow(kit.tidy(run), f"doc_id {kind}, {PIECE}")
     return made.where("ids is null").select("doc_id", *_PIECES).unionByName(rest)
 
 

@@ -61,7 +61,7 @@ def bucket_counts(docs: DataFrame) -> DataFrame:
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(trusted[at])], names=["bucket", "n_raw", "n_trusted"])
 
-    return docs.select("text", "trusted").mapInArrow(run, "bucket long, n_raw long, n_trusted long").groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_trusted").alias("n_trusted"))
+    return docs.select("text", "trusted").mapInArrow(kit.tidy(run), "bucket long, n_raw long, n_trusted long").groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_trusted").alias("n_trusted"))
 
 
 def fit(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
@@ -134,7 +134,7 @@ def measure(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_co
                 cols = [n_words, word_chars, n_symbols, dup_lines, repeat, failed, ~failed & (score >= threshold), score]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *map(pa.array, cols)], names=["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))])
 
-    return out.mapInArrow(run, f"doc_id {id_type}, {SCHEMA}")
+    return out.mapInArrow(kit.tidy(run), f"doc_id {id_type}, {SCHEMA}")
 
 
 def _has_repeats(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:

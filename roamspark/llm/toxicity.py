@@ -80,7 +80,7 @@ def score(docs: DataFrame, net: gru.Net, id_col: str = "doc_id", text_col: str =
                 got = scorer.texts(kit.LOWER[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(got)], names=["doc_id", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(kit.tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -179,7 +179,7 @@ def write_archives(records: DataFrame, dictionary: bytes, archive_bytes: int = A
         if len(frames) > 1:
             yield closed()
 
-    return records.mapInArrow(run, "archive string, content binary")
+    return records.mapInArrow(kit.tidy(run), "archive string, content binary")
 
 
 READ = "archive string, record_type string, record_id string, target_uri string, refers_to string, payload_bytes long, payload_digest string"
@@ -200,7 +200,7 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                 kinds = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)][: 8 if with_payload else 7], names=[*(x.split()[0] for x in READ.split(", ")), "payload"][: 8 if with_payload else 7])
 
-    return archives.select(F.col(name).alias("archive"), "content").mapInArrow(run, READ + (", payload binary" if with_payload else ""))
+    return archives.select(F.col(name).alias("archive"), "content").mapInArrow(kit.tidy(run), READ + (", payload binary" if with_payload else ""))
 
 
 def dictionary_for(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> bytes:
