@@ -146,7 +146,7 @@ class Scorer:
         if not known.all():
             body = data.tobytes()
             new = np.flatnonzero(~known)
-            for part in np.array_split(new, -(-len(new) // 50_000)):
+            for part in np.array_split(new, -(-len(new) // 15_000)):
                 rows[part] = self.words([body[starts[i] : ends[i]].decode("utf-8", "replace").replace(" ", "") for i in first[part]])
             if len(self.keys) + len(new) > CACHE:
                 self.keys, self.rows = keys, rows
