@@ -488,6 +488,18 @@ def test_minhash_pairs_in_buckets_of_others(spark, monkeypatch, small, length, r
     assert got == want
 
 
+def test_components_grow(spark):
+    from roamspark.llm import components
+
+    rng = random.Random(2)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    table = lambda rows: spark.createDataFrame([(a, b) for a, b in rows if a != b], "a long, b long")
+    labels = components.components(table(links[:15]))
+    for k in (15, 30):
+        labels = components.extended(labels, table(links[k : k + 15]))
+    assert {r.node: r.label for r in labels.collect()} == {r.node: r.label for r in components.components(table(links)).collect()}
+
+
 def test_banded_distance():
     rng = random.Random(1)
     for _ in range(3000):
