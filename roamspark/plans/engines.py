@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -52,13 +52,13 @@ class Engine:
         self.rule = None
         return self.process(self.read(path), progress)
 
-    def process_logs(self, logs: list[str], progress: Callable[[dict], None] | None = None) -> Result:
+    def process_logs(self, logs: Iterable[str], progress: Callable[[dict], None] | None = None) -> Result:
         return self.process(sources.lines_of(self.spark, logs), progress)
 
     def process_file_stream(self, path: str, on_batch: Callable[[list[dict]], None], size: int = 2000, progress: Callable[[dict], None] | None = None) -> Result:
         return self._streamed(self.process_file(path, progress), on_batch, size)
 
-    def process_logs_stream(self, logs: list[str], on_batch: Callable[[list[dict]], None], size: int = 2000, progress: Callable[[dict], None] | None = None) -> Result:
+    def process_logs_stream(self, logs: Iterable[str], on_batch: Callable[[list[dict]], None], size: int = 2000, progress: Callable[[dict], None] | None = None) -> Result:
         return self._streamed(self.process_logs(logs, progress), on_batch, size)
 
     def _streamed(self, out: Result, on_batch: Callable[[list[dict]], None], size: int) -> Result:

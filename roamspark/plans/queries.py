@@ -210,8 +210,10 @@ def engine_of_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def engine_of_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that the caller has in memory."""
-    return _outgoing(Engine(spark).process_logs([r.raw for r in wifi_lines(spark, sf_dir).orderBy("line_index").collect()]).records)
+    """Lines that the caller hands over one after another, of which the driver holds a part of 100,000 at a time."""
+    lines = wifi_lines(spark, sf_dir).select("line_index", "raw")
+    parts = lines.repartitionByRange(lines.count() // 100_000 + 1, "line_index").sortWithinPartitions("line_index")
+    return _outgoing(Engine(spark).process_logs(r.raw for r in parts.toLocalIterator()).records)
 
 
 def baseline_of_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import local_table, ranked
+from ..session import local_table, ranked, shared_dir
 
 #: What str.splitlines() splits on.
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -43,8 +45,21 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(_scan(spark, path).select(F.regexp_replace(_valid(F.col("value")), r"\r+\z", "").alias("raw"), "_path", "_start"))
 
 
-def lines_of(spark: SparkSession, lines: list[str]) -> DataFrame:
-    return local_table(spark, list(enumerate(lines)), "line_index long, raw string")
+def lines_of(spark: SparkSession, lines: Iterable[str], most: int = 16 << 20) -> DataFrame:
+    """line_index (from 0), raw of lines that the caller holds or makes one after another. Of more than most bytes (about; with 64 a line) the driver holds one piece at a time, which goes to the shared folder."""
+    schema, piece, held, path = "line_index long, raw string", [], 0, ""
+    for row in enumerate(lines):
+        piece.append(row)
+        held += 64 + len(row[1] or "")
+        if held >= most:
+            path = path or f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+            local_table(spark, piece, schema).write.mode("append").option("compression", "zstd").parquet(path)
+            piece, held = [], 0
+    if not path:
+        return local_table(spark, piece, schema)
+    if piece:
+        local_table(spark, piece, schema).write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:

@@ -71,3 +71,15 @@ def test_sources(spark, tmp_path):
     assert sources.Settings.load({"llm": {"primary_model": "m"}}, {"ROAMSPARK_MODEL": "n"}).primary_model == "n"
     with pytest.raises(ValueError):
         sources.Experiment.load(str(cfg), ["c"])
+
+
+def test_lines_in_pieces(spark, monkeypatch):
+    """Lines that are made one after another are numbered in their order, and the driver holds few of them at a time."""
+    texts = [None if k % 7 == 0 else "" if k % 5 == 0 else f"line {k}" for k in range(1000)]
+    sizes, made = [], sources.local_table
+    monkeypatch.setattr(sources, "local_table", lambda s, rows, schema: sizes.append(len(rows)) or made(s, rows, schema))
+    for most, pieces in ((1 << 20, 1), (64 * 300, 4)):
+        sizes.clear()
+        got = sources.lines_of(spark, iter(texts), most)
+        assert [tuple(r) for r in got.orderBy("line_index").collect()] == list(enumerate(texts)) and len(sizes) == pieces
+    assert max(sizes) <= 300 and sources.lines_of(spark, iter([])).count() == 0
