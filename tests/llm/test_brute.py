@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from roamspark.llm import compaction, ctw, decontaminate, dedup, gru, kit, language, minhash, packing, quality, scoring, suffixes, toxicity, warc
@@ -488,6 +489,40 @@ def test_minhash_pairs_in_buckets_of_others(spark, monkeypatch, small, length, r
     assert got == want
 
 
+def test_minhash_short_texts(spark):
+    """Short texts that differ in a fifth of their words, wherever those stand, are all linked; so are most long ones."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows = {}
+    for i in range(400):
+        text = [word() for _ in range(5 + i % 36)]
+        most = len(text) // 5
+        places = rng.sample(range(len(text)), most) if i % 2 else [5 * k + 4 - (i // 2) % 5 for k in range(most)]
+        rows[2 * i], rows[2 * i + 1] = text, [word() if k in places else x for k, x in enumerate(text)]
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(spark.createDataFrame([(i, " ".join(t)) for i, t in rows.items()], "doc_id long, text string")).collect()}
+    found = {i: got[2 * i] == got[2 * i + 1] for i in range(400)}
+    assert all(v for i, v in found.items() if len(rows[2 * i]) <= minhash.SHORT) and sum(found.values()) > 0.95 * len(found)
+
+
+def test_minhash_all_pairs_of_a_large_bucket(spark, monkeypatch):
+    """Copies of a passage, edited far below the shingle similarity of THRESHOLD: with neither centres nor turns each link of a large bucket is found."""
+    monkeypatch.setattr(minhash, "RARE", 0)
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(100)]
+    rows = {}
+    for i in range(60):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(100)]
+        rows[1000 + i] = passage + own
+        rows[2000 + i] = passage + [f"w{rng.randrange(10**9)}" if k % 3 == 0 else x for k, x in enumerate(own)]
+    want = grouped(rows, close)
+    assert len(set(want.values())) == 60
+    labels = spark.createDataFrame([(1000, 1000), (2000, 1000)], "node long, label long")
+    texts = spark.createDataFrame([(i, zstandard.compress(" ".join(t).encode())) for i, t in rows.items()], "node long, text binary")
+    pairs = {(r.a, r.b) for r in minhash._close(texts, labels).collect()}
+    assert {(1000 + i, 2000 + i) for i in range(1, 60)} <= pairs
+
+
 def test_components_grow(spark):
     from roamspark.llm import components
 
