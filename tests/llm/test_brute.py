@@ -523,6 +523,30 @@ def test_minhash_all_pairs_of_a_large_bucket(spark, monkeypatch):
     assert {(1000 + i, 2000 + i) for i in range(1, 60)} <= pairs
 
 
+def test_prefixes_of_words_that_meet(spark):
+    """Words that only texts of one label, or of lengths too far apart, have are not moved; all pairs of different labels with THRESHOLD of the longer one's words in common still meet."""
+    rng = random.Random(4)
+    rows, label = {}, {}
+    for i in range(40):  # copies under one label, and texts three times as long that hold the same words
+        words = [f"a{i}x{k}" for k in range(50)]
+        rows |= {10 * i: words, 10 * i + 1: words[:-1], 10 * i + 2: words + [f"b{i}x{k}" for k in range(100)]}
+        label |= {10 * i: 10 * i, 10 * i + 1: 10 * i, 10 * i + 2: 10 * i + 2}
+    few = list(rows)
+    for i in range(60):
+        size = rng.randrange(5, 400)
+        words = [f"c{rng.randrange(300)}" if rng.random() < 0.3 else f"d{rng.randrange(10**9)}" for _ in range(size)]
+        cut = rng.randrange(size // 5 + 1)
+        rows |= {1000 + i: words, 2000 + i: words[cut:]}
+        label |= {1000 + i: 1000 + i, 2000 + i: 2000 + i}
+    table = lambda ids: spark.createDataFrame([(i, zstandard.compress(" ".join(rows[i]).encode()), label[i], True) for i in ids], "node long, text binary, label long, out boolean")
+    assert minhash.prefixes(table(few)).count() <= 40  # cells shared by chance
+    marked = lambda t: set(Counter((w, k) for w in set(t) for k in range(t.count(w))))
+    kinds = {i: marked(t) for i, t in rows.items()}
+    want = {(a, b) for a in rows for b in rows if a < b and label[a] != label[b] and len(kinds[a] & kinds[b]) >= minhash.THRESHOLD * max(len(rows[a]), len(rows[b])) - 1e-6}
+    got = {(r.a, r.b) for r in minhash._close(table(rows).select("node", "text"), spark.createDataFrame(list(label.items()), "node long, label long")).collect()}
+    assert len(want) >= 60 and want <= got
+
+
 def test_components_grow(spark):
     from roamspark.llm import components
 
