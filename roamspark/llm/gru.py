@@ -18,10 +18,18 @@ DIM, HIDDEN, ATT = 4, 8, 8
 GRAMS, PREFIXES = (3, 5), (4, 5, 6, 7, 8, 9)
 WINDOW, STRIDE = 128, 96
 PER_DOC, FOLDS = 5, 4
+#: Distinct words whose n-grams are worked out at a time.
+BLOCK = 1 << 13
 
 
 def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word buckets, n-gram buckets of all words one after another, and the bounds of each word's n-grams. n-grams and prefixes are of bytes, with one space around the word."""
+    words, grams, bounds = zip(*(_block_features(data, starts[i : i + BLOCK], ends[i : i + BLOCK]) for i in range(0, max(len(starts), 1), BLOCK)))
+    before = np.cumsum([0, *map(len, grams)])
+    return np.concatenate(words), np.concatenate(grams), np.concatenate([np.zeros(1, np.int64), *[b[1:] + k for b, k in zip(bounds, before)]])
+
+
+def _block_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = ends - starts + 2
     offs = np.concatenate([[0], np.cumsum(size)])
     line = np.full(offs[-1], 32, np.uint8)
@@ -47,7 +55,7 @@ def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     owner_all = np.concatenate(owner)
     grams = kit.mix(kit.span_hash(h, first, last) + np.concatenate(salt) * U64(0x9E3779B97F4A7C15)) >> U64(64 - GRAM_BITS)
     order = np.argsort(owner_all, kind="stable")
-    return (words >> U64(64 - WORD_BITS)).astype(np.int64), grams[order].astype(np.int64), np.searchsorted(owner_all[order], np.arange(len(size) + 1))
+    return (words >> U64(64 - WORD_BITS)).astype(np.int64), grams[order].astype(np.int32), np.searchsorted(owner_all[order], np.arange(len(size) + 1))
 
 
 def windows(n_words: int) -> list[int]:
@@ -87,13 +95,17 @@ class Net:
 
     def inputs(self, words: np.ndarray, grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Of each distinct word."""
+        return np.concatenate([self._inputs(words[i : i + BLOCK], grams[bounds[i] : bounds[min(i + BLOCK, len(words))]], bounds[i : i + BLOCK + 1] - bounds[i]) for i in range(0, max(len(words), 1), BLOCK)])
+
+    def _inputs(self, words: np.ndarray, grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         n = np.maximum(np.diff(bounds), 1)[:, None]
-        padded = np.concatenate([self.p["gram"][grams], np.zeros((1, DIM), np.float32)])
         has = np.diff(bounds) > 0
-        safe = np.minimum(bounds[:-1], len(grams))
-        mean = np.add.reduceat(padded, safe, 0) * has[:, None] / n if len(words) else np.zeros((0, DIM))
-        odds = np.append(self.gram_odds[grams], 0)
-        total, most = (f.reduceat(odds, safe) * has if len(words) else np.zeros(0) for f in (np.add, np.maximum))
+        mean, total, most = np.zeros((len(words), DIM), np.float32), np.zeros(len(words), np.float32), np.zeros(len(words), np.float32)
+        if has.any():
+            first, odds = bounds[:-1][has], self.gram_odds[grams]
+            mean[has] = np.add.reduceat(self.p["gram"][grams], first, 0)
+            total[has], most[has] = np.add.reduceat(odds, first), np.maximum.reduceat(odds, first)
+        mean = mean / n
         return np.concatenate([self.p["word"][words], mean, self.word_odds[words][:, None], (total / n[:, 0])[:, None], most[:, None]], 1).astype(np.float32)
 
     def projected(self, x: np.ndarray) -> np.ndarray:
@@ -196,6 +208,7 @@ class Words:
             es.append(e + offs[i])
             bs.extend((b[1:] + bs[-1]).tolist())
         h = np.concatenate(hs) if hs else np.zeros(0, U64)
+        del hs
         _, first, self.rows = np.unique(h, return_index=True, return_inverse=True)
         self.bounds = np.array(bs)
         self.words, self.grams, self.gram_bounds = word_features(data, np.concatenate(ss)[first], np.concatenate(es)[first]) if len(h) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64))
@@ -226,6 +239,7 @@ def fit(texts: list[bytes], label: np.ndarray, share: float, epochs: int = 8, se
         net.p["out"][:] = 0
         return net.slim()
     w = Words(texts)
+    kit.trim()
     train = np.arange(len(texts)) % 5 != 0
     docs = [w.rows[w.bounds[k] : w.bounds[k + 1]] for k in range(len(texts))]
     on = np.flatnonzero(train)
@@ -269,6 +283,8 @@ def fit(texts: list[bytes], label: np.ndarray, share: float, epochs: int = 8, se
     weight = np.where(y > 0, share / max((y > 0).mean(), 1e-6), (1 - share) / max((y == 0).mean(), 1e-6))
     if 0 < y.mean() < 1:
         net.pool = _logistic(np.column_stack([held, np.ones(len(held))]), y, weight)
+    del w, docs, starts, features
+    kit.trim()
     return net.slim()
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -685,6 +686,26 @@ def test_forward_pass_is_what_the_equations_say():
         assert math.isclose(got[row], sum(x * float(o) for x, o in zip(pooled, p["out"])) + float(p["bias"][0]), rel_tol=1e-3, abs_tol=1e-4)
 
 
+def test_features_of_many_words_stay_small(monkeypatch):
+    """n-grams of all distinct words are never worked out at once, and blocks give what one block does."""
+    words = [f"word{k * 7919}of{k}" for k in range(20_000)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    net, peaks = gru.Net(3), []
+    gru.word_features(data, starts[:9000], ends[:9000])
+    for call in (lambda: gru.word_features(data, starts, ends), lambda: net.inputs(*got)):
+        tracemalloc.start()
+        got = call() if not peaks else got
+        inputs = call() if peaks else None
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[0] < 50e6 and peaks[1] < 15e6, peaks
+    monkeypatch.setattr(gru, "BLOCK", 1 << 20)
+    for a, b in zip((*got, inputs), (*gru.word_features(data, starts, ends), net.inputs(*got))):
+        assert np.array_equal(a, b)
+
+
 def test_contradictory_labels_are_not_learned(spark):
     docs = spark.createDataFrame([(k, f"{'bad' if k % 2 else 'good'} word {k}") for k in range(40)], "doc_id long, text string")
     held = [(k, k % 2) for k in range(38)] + [(38, 0), (38, 1), (39, 1), (39, 1)]
