@@ -524,6 +524,42 @@ def test_minhash_all_pairs_of_a_large_bucket(spark, monkeypatch):
     assert {(1000 + i, 2000 + i) for i in range(1, 60)} <= pairs
 
 
+def test_pairs_of_one_repeated_word_pair_are_made_once(spark, monkeypatch):
+    """Texts that share many words of the prefix filter make one row a pair, not one for each word; none that shares THRESHOLD of its words is lost."""
+    rng = random.Random(6)
+    rows = {i: [f"w{rng.randrange(10**9)}" for _ in range(36 + i % 3)] + ["is", "here"] * (80 + i % 7) for i in range(40)}
+    texts = spark.createDataFrame([(i, zstandard.compress(" ".join(t).encode())) for i, t in rows.items()], "node long, text binary")
+    labels = spark.createDataFrame([], "node long, label long")
+    monkeypatch.setattr(type(texts), "distinct", lambda self: self)
+    got = [(r.a, r.b) for r in minhash._close(texts, labels).collect()]
+    kinds = {i: Counter(t) for i, t in rows.items()}
+    want = {(a, b) for a in rows for b in rows if a < b and (kinds[a] & kinds[b]).total() >= minhash.THRESHOLD * max(len(rows[a]), len(rows[b])) - 1e-6}
+    assert len(want) > 300 and want <= set(got) and len(got) < 1.5 * len(set(got))
+
+
+def test_turns_ask_again_only_where_links_were_found(spark, monkeypatch):
+    """A turn after the first takes words of components that the last one joined, not those of all texts."""
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    rng = random.Random(8)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = [f"p{k}" for k in range(100)]
+    rows = {}
+    for i in range(60):
+        words = own(100)
+        rows |= {1000 + i: passage + words, 2000 + i: passage + ([own(1)[0] if k % 3 == 0 else x for k, x in enumerate(words)] if i < 20 else own(100))}
+    asked, turn = [], minhash._turn
+
+    def counted(rare, labels, k):
+        asked.append(rare.count())
+        return turn(rare, labels, k)
+
+    monkeypatch.setattr(minhash, "_turn", counted)
+    texts = sorted(((i, " ".join(t)) for i, t in rows.items()), key=lambda r: zlib.crc32(str(r).encode()))
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == grouped(rows, close)
+    assert len(asked) > 1 and all(n < 0.6 * asked[0] for n in asked[1:])
+
+
 def test_prefixes_of_words_that_meet(spark):
     """Words that only texts of one label, or of lengths too far apart, have are not moved; all pairs of different labels with THRESHOLD of the longer one's words in common still meet."""
     rng = random.Random(4)
