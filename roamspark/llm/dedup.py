@@ -43,9 +43,9 @@ HOT = 4096
 #: Windows that are sorted at once, about 300 bytes of memory each.
 BLOCK = 150_000
 #: Bytes that are cut at once, about 100 bytes of memory each.
-PIECE = 1 << 19
+PIECE = 1 << 18
 #: Contexts that a task gathers before it sends them on.
-HELD = 2_000_000
+HELD = 200_000
 U64 = np.uint64
 CONTEXT = np.dtype([("h", "<u8"), ("f", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("at", "<u4"), ("a", "u1"), ("n", "u1")])
 ASK = np.dtype([("h", "<u8"), ("at", "<u4"), ("a", "u1"), ("n", "u1"), ("salt", "<u2")])
